@@ -1,10 +1,10 @@
 """The operators run on the given star-schema tables, each with a SQL twin."""
 
-from stocktide.workload import composites
+from stocktide.workload import composites, replenishment
 
 
 def _parts():
-    return [composites.R]
+    return [composites.R, replenishment.R]
 
 
 def queries():
