@@ -335,25 +335,33 @@ def _money(c: str) -> Column:
     return F.col(c).cast("decimal(28,2)")
 
 
-def crore_pivots(report: DataFrame, company: str | None = None, loss_reasons=LOSS_REASONS) -> dict[str, DataFrame]:
-    """Twelve summaries with totals, in units of 1e7 at two decimals.
+_LISTS = {"v": V, "m": M, "d": D, "s": S, "p": ["psl"]}
+
+
+def summary_base(report: DataFrame, company: str | None = None) -> DataFrame:
+    """The report folded once to the summary keys (a few hundred rows at most).
 
-    The report is folded once to the summary keys (a few hundred rows at most); a
-    completeness mark per measure list keeps the total rule of margins exact.
+    A completeness mark per measure list keeps the total rule of margins exact.
     """
     rows = report.where(F.col("company") == company) if company else report
     keys = ["classification", "nmsm_tag", "region", "loss_reason"]
-    sets = {"v": V, "m": M, "d": D, "s": S, "p": ["psl"]}
-    marks = [all_known(cols).alias(f"_ok_{n}") for n, cols in sets.items()]
+    marks = [all_known(cols).alias(f"_ok_{n}") for n, cols in _LISTS.items()]
     measures = list(dict.fromkeys(V + M + D + S))
-    base = rows.select(*keys, *[_money(c).alias(c) for c in measures], *marks).groupBy(
-        *keys, *[f"_ok_{n}" for n in sets]).agg(*[F.sum(or_zero(c)).alias(c) for c in measures])
+    return rows.select(*keys, *[_money(c).alias(c) for c in measures], *marks).groupBy(
+        *keys, *[f"_ok_{n}" for n in _LISTS]).agg(*[F.sum(or_zero(c)).alias(c) for c in measures])
+
+
+def crore_pivot(base: DataFrame, name: str, loss_reasons=LOSS_REASONS) -> DataFrame:
+    """One summary with its total, in units of 1e7 at two decimals."""
+    index, column, cols = SUMMARIES[name]
+    mark = "p" if column else next(n for n, c in _LISTS.items() if c == cols)
+    return _summary(base, index, column, cols, f"_ok_{mark}", loss_reasons)
 
-    out = {}
-    for name, (index, column, cols) in SUMMARIES.items():
-        tag = "p" if column else next(n for n, c in sets.items() if c == cols)
-        out[name] = _summary(base, index, column, cols, f"_ok_{tag}", loss_reasons)
-    return out
+
+def crore_pivots(report: DataFrame, company: str | None = None, loss_reasons=LOSS_REASONS) -> dict[str, DataFrame]:
+    """All twelve summaries, for every company or for one."""
+    base = summary_base(report, company)
+    return {name: crore_pivot(base, name, loss_reasons) for name in SUMMARIES}
 
 
 def _summary(base: DataFrame, index: list[str], column: str | None, cols: list[str], ok: str, loss_reasons) -> DataFrame:
@@ -375,14 +383,23 @@ def report_date_text(run_date: Column) -> Column:
 
 
 def write_replenishment(inputs: dict[str, DataFrame], run_date: str, path: str, companies=COMPANIES) -> dict[str, str]:
-    """Write the report first, then build summaries and lists from the written table,
-    so the long join chain runs once and later sheets survive lost executors."""
+    """Write the report first, then build summaries and lists from the written table.
+
+    The long join chain runs once, the twelve summaries read one small written fold, and
+    sheets that come later survive lost executors.
+    """
     from stocktide.sources.writers import write_report, write_table
 
     sheets = replenishment_report(inputs, run_date, companies)
-    spot = f"{path.rstrip('/')}/report"
+    root = path.rstrip("/")
     report = sheets.pop("report")
-    write_table(report, spot)
-    stored = report.sparkSession.read.schema(report.schema).parquet(spot)
-    more = {**crore_pivots(stored), **{f"inventory_{c}": df for c, df in inventory_lists(stored, companies).items()}, **sheets}
-    return {"report": spot, **write_report(more, path)}
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        write_table(df, f"{root}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    report = stored(report, "report")
+    base = stored(summary_base(report), "summary_base")
+    more = {**{name: crore_pivot(base, name) for name in SUMMARIES},
+            **{f"inventory_{c}": df for c, df in inventory_lists(report, companies).items()}, **sheets}
+    return {"report": f"{root}/report", **write_report(more, path)}

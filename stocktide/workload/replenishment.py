@@ -190,14 +190,14 @@ def _summary_sql(name: str, company: str | None) -> str:
             f"union all select 'Total' as {index[0]}, {edge}, {total} from {src} where {full}")
 
 
-def _summaries(i: Inputs, company: str | None):
-    return P.crore_pivots(P.replenishment_report(inputs(i), RUN_DATE)["report"], company)
+def _folded(i: Inputs, company: str | None):
+    return P.summary_base(P.replenishment_report(inputs(i), RUN_DATE)["report"], company)
 
 
 for _name in P.SUMMARIES:
-    add(f"c07_23_{_name}", lambda i, n=_name: _summaries(i, None)[n], _summary_sql(_name, None))
+    add(f"c07_23_{_name}", lambda i, n=_name: P.crore_pivot(_folded(i, None), n), _summary_sql(_name, None))
 for _name in P.SUMMARIES:
-    add(f"c07_23_one_company_{_name}", lambda i, n=_name: _summaries(i, "A")[n], _summary_sql(_name, "A"))
+    add(f"c07_23_one_company_{_name}", lambda i, n=_name: P.crore_pivot(_folded(i, "A"), n), _summary_sql(_name, "A"))
 for _c in P.COMPANIES:
     add(f"c07_24_inventory_list_{_c.lower()}", lambda i, c=_c: P.inventory_lists(P.replenishment_report(inputs(i), RUN_DATE)["report"])[c],
         f"select distinct date, region, area, opd, inventory_status, customer_code, town, company from ({_REPORT}) r where company = '{_c}'")

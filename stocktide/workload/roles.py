@@ -217,14 +217,24 @@ def expand(text: str, table) -> str:
 
 def frame(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
     """The role as a frame; a table name gives the table itself."""
-    if role not in ROLES:
-        return table(spark, sf_dir, role)
-    text = expand(ROLES[role], lambda t: f"parquet.`{sf_dir}/{t}.parquet`")
-    return spark.sql(text)
+    views = _views(spark, sf_dir)
+    return spark.sql(expand("select * from {" + role + "}", views.__getitem__))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return frame(spark, sf_dir, name)
+
+
+def _views(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """One temp view per table and folder, so a table's footer is read once per session."""
+    known = spark.__dict__.setdefault("_stocktide_views", {})
+    if sf_dir not in known:
+        names = {}
+        for t in TABLES:
+            names[t] = f"stocktide_{len(known)}_{t}"
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(names[t])
+        known[sf_dir] = names
+    return known[sf_dir]
 
 
 def oracle(text: str) -> str:
