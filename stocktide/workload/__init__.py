@@ -1,10 +1,10 @@
 """The operators run on the given star-schema tables, each with a SQL twin."""
 
-from stocktide.workload import composites, replenishment
+from stocktide.workload import blocks, composites, replenishment
 
 
 def _parts():
-    return [composites.R, replenishment.R]
+    return [composites.R, replenishment.R, blocks.R]
 
 
 def queries():
