@@ -181,7 +181,7 @@ def _sheet(i: Inputs):
 add("j11_range_join_as_fill", lambda i: W.fill_down(_sheet(i), "code", "pos", block_rows=4096).groupBy("code").agg(F.count(F.lit(1)).alias("n")),
     f"""select code, count(*) as n from (select last_value(code ignore nulls) over (order by pos rows between unbounded preceding and current row) as code
     from {_SHEET} s) f where code is not null group by 1""")
-_CM = "(select o_custkey as k, year(o_orderdate) as y, sum(cast(o_totalprice as decimal(18,2))) as amt from {orders} group by 1, 2)"
+_CM = "(select o_custkey as k, cast(year(o_orderdate) as int) as y, sum(cast(o_totalprice as decimal(18,2))) as amt from {orders} group by 1, 2)"
 add("j12_later_pairs", lambda i: J.later_pairs(
         i.orders.groupBy(C("o_custkey").alias("k"), F.year("o_orderdate").alias("y")).agg(F.sum(C("o_totalprice").cast("decimal(18,2)")).alias("amt")), ["k"], "y", "amt")
     .groupBy("period_from", "period_to").agg(F.count("k").alias("n")),
@@ -248,7 +248,7 @@ add("a15_mean_row", lambda i: S.append_mean_row(S.pivot_sum(i.hht_orders, ["town
     "with p as (select town, " + ", ".join(f"sum(case when category = '{t}' then order_qty end) as \"{t}\"" for t in _TYPES)
     + " from {hht_orders} group by 1) select * from p union all select 'avg.', " + ", ".join(f'avg("{t}")' for t in _TYPES) + " from p")
 add("a16_group_by_ordinal", lambda i: i.orders.groupBy(F.year("o_orderdate").alias("y"), "o_orderstatus").agg(F.count(F.lit(1)).alias("n")),
-    "select year(o_orderdate) as y, o_orderstatus, count(*) as n from {orders} group by 1, 2")
+    "select cast(year(o_orderdate) as int) as y, o_orderstatus, count(*) as n from {orders} group by 1, 2")
 
 # --- windows --------------------------------------------------------------------------------------------------------------
 
@@ -344,7 +344,7 @@ add("f02_upper_all_text", lambda i: E.upper_text(i.part),
     "select p_partkey, upper(p_name) as p_name, upper(p_brand) as p_brand, upper(p_type) as p_type, p_size, p_retailprice from {part}")
 part("f03_left", lambda: F.left(C("p_name"), F.lit(4)), "left(p_name, 4)")
 part("f04_right", lambda: F.right(C("p_name"), F.lit(4)), "right(p_name, 4)")
-part("f05_length", lambda: F.length("p_name"), "length(p_name)")
+part("f05_length", lambda: F.length("p_name"), "cast(length(p_name) as int)")
 cust("f06_concat", lambda: E.join_text("c_name", F.when(bal().isNotNull(), F.lit("!"))), f"concat(c_name, case when {_BAL} is not null then '!' end)")
 cust("f07_pipe_concat", lambda: F.concat(C("c_name"), F.when(bal().isNotNull(), F.lit("!"))), f"c_name || case when {_BAL} is not null then '!' end")
 part("f08_first_word", lambda: E.first_word("p_name"), "split_part(p_name, ' ', 1)")
@@ -357,7 +357,7 @@ order("f12_parse_day", lambda: E.parse_day(dot(), E.DAY_DOTTED), f"strptime({_DO
 order("f13_text_to_date", lambda: E.day_from_text("o_orderdate"), "cast(left(cast(o_orderdate as varchar), 10) as date)")
 order("f14_format_date", lambda: F.date_format(day(), E.DAY_WORDED), "strftime(o_orderdate, '%d %b %Y')")
 order("f15_day_before", lambda: E.day_before(day()), "strftime(cast(o_orderdate as date) - 1, '%d %b %Y')")
-order("f16_month_diff", lambda: E.months_apart(day(), F.lit("2001-12-31").cast("date")), "datediff('month', cast(o_orderdate as date), date '2001-12-31')")
+order("f16_month_diff", lambda: E.months_apart(day(), F.lit("2001-12-31").cast("date")), "cast(datediff('month', cast(o_orderdate as date), date '2001-12-31') as int)")
 order("f17_weekday", lambda: E.weekday_tag(day()), "upper(strftime(o_orderdate, '%a'))")
 order("f18_run_date_text", lambda: F.concat(F.date_format(F.lit("2023-03-19").cast("date"), E.DAY_WORDED), F.lit(" "), C("o_orderstatus")), "'19 Mar 2023 ' || o_orderstatus")
 part("f19_arithmetic", lambda: E.ratio(C("p_retailprice") - C("p_size") * 2 + 1, C("p_size") - 25), "(p_retailprice - p_size * 2 + 1) / nullif(p_size - 25, 0)")

@@ -535,7 +535,7 @@ def _cohort_sql(by: str, where: str, amount: bool) -> str:
         (f" and t1.{by} = t2.{by}" if by else "")
     using = f"({b}claim_month_from)"
     return f"""with side as {side}, cohort as (select {tb}t1.claim_month as claim_month_from, t2.claim_month as claim_month_to,
-        datediff('month', (t1.claim_month || '-01')::date, (t2.claim_month || '-01')::date) as month_diff,
+        cast(datediff('month', (t1.claim_month || '-01')::date, (t2.claim_month || '-01')::date) as int) as month_diff,
         count(distinct t1.distributor_code) as distributors_ret from side t1 left join side t2 on {on} group by all)
         select c.*, distributors_init, distributors_ret / distributors_init as distributors_ret_pct from cohort c
         join (select {b}claim_month_from, distributors_ret as distributors_init from cohort where month_diff = 0) i using {using}"""

@@ -121,8 +121,8 @@ ROLES = {
     "lifting_plan": "select n_name as town, count(*) / 16.0e0 as plan from {towns} group by n_name",
     "confirmed": "select n_name as town, cast(value as double) as confirmed_value from {sales} where rf = 'A' and ls = 'O'",
     # --- outlet growth ----------------------------------------------------------------------------------------------------
-    "outlet_month": """select 'C' || cast(o_custkey as string) as outlet_code, p_brand as basepack, year(ship_day) as yr,
-        month(ship_day) as mon, sum(qty) as qty from {sales} group by o_custkey, p_brand, year(ship_day), month(ship_day)""",
+    "outlet_month": """select 'C' || cast(o_custkey as string) as outlet_code, p_brand as basepack, cast(year(ship_day) as int) as yr,
+        cast(month(ship_day) as int) as mon, sum(qty) as qty from {sales} group by o_custkey, p_brand, year(ship_day), month(ship_day)""",
     # --- target match -----------------------------------------------------------------------------------------------------
     "depot_plan": """select r_name as depot, n_name as town, case when count(*) < 55 then '\n' else cast(count(*) * 3 as string) end as plan
         from {towns} group by r_name, n_name

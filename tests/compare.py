@@ -18,22 +18,22 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
-def cell(v):
+def cell(v, digits=12):
     if isinstance(v, bool) or v is None:
         return v
     if isinstance(v, decimal.Decimal):
         v = float(v)
     if isinstance(v, (int, float)):
         v = float(v)
-        return "nan" if math.isnan(v) else float(f"{v:.12g}") + 0.0
+        return "nan" if math.isnan(v) else float(f"{v:.{digits}g}") + 0.0
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None).isoformat()
     return v.isoformat() if isinstance(v, datetime.date) else v
 
 
-def rows_of(columns, rows):
+def rows_of(columns, rows, digits=12):
     order = sorted(range(len(columns)), key=lambda k: columns[k])
-    return Counter(tuple(cell(r[k]) for k in order) for r in rows)
+    return Counter(tuple(cell(r[k], digits) for k in order) for r in rows)
 
 
 def connect(sf_dir):
@@ -47,18 +47,22 @@ def connect(sf_dir):
 
 def compare(spark, con, sf_dir, fn, sql):
     df = fn(spark, sf_dir)
-    got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    data = [tuple(r) for r in df.collect()]
+    got = rows_of(df.columns, data)
     if sql is None:
         return None, sum(got.values()), None, ""
     cur = con.execute(sql)
     names = [c[0] for c in cur.description]
-    want = rows_of(names, cur.fetchall())
+    other = cur.fetchall()
+    want = rows_of(names, other)
     note = ""
     if sorted(names) != sorted(df.columns):
         note = f"columns differ: {sorted(set(names) ^ set(df.columns))}"
     elif got != want:
         extra, lost = list((got - want).items())[:2], list((want - got).items())[:2]
         note = f"{sorted(names)}\n   spark only {extra}\n   sql only {lost}"
+    elif rows_of(df.columns, data, 17) != rows_of(names, other, 17):
+        return True, sum(got.values()), sum(want.values()), "(equal to 12 digits)"
     return got == want and not note, sum(got.values()), sum(want.values()), note
 
 
