@@ -66,9 +66,9 @@ def read_tolerant(spark: SparkSession, paths, schema, fmt: str = "csv", **option
             mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, ignoreCorruptFiles="true", **options
         ).load(paths)
     )
-    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    # the text parser refuses to run for the raw text alone, so the test reads the parsed fields too
+    # the text parser refuses to run for the raw text alone, so both tests read the parsed fields too
     parsed = F.length(F.concat_ws("", *[F.col(f.name).cast("string") for f in spec.fields])) >= 0
+    good = df.where(F.col(CORRUPT).isNull() & parsed).drop(CORRUPT)
     rejected = df.where(F.col(CORRUPT).isNotNull() & parsed).select("source_file", F.col(CORRUPT).alias("raw"))
     return good, rejected
 
