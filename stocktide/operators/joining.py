@@ -1,7 +1,7 @@
 """Joins that stay whole and bounded at scale.
 
-No side is forced to broadcast unless its size has a hard bound (one-row totals,
-calendars of distinct days, literal tables). Everything else is left to Spark's own
+No side is forced to broadcast unless its size has a hard bound (calendars of distinct
+days, literal tables). Everything else is left to Spark's own
 size checks at planning time and at run time.
 """
 
@@ -35,8 +35,8 @@ def enrich(df: DataFrame, lookup: DataFrame, keys: list[str], on_duplicate: str
 
 
 def with_total(df: DataFrame, totals: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row. A global aggregate has exactly one row."""
-    return df.crossJoin(F.broadcast(totals))
+    """Attach a one-row aggregate to every row, as scalar subqueries: no join, no shuffle of the rows."""
+    return df.select("*", *[totals.select(c).scalar().alias(c) for c in totals.columns])
 
 
 def share_of_total(df: DataFrame, value: str, out: str) -> DataFrame:
@@ -78,7 +78,7 @@ def not_in(df: DataFrame, key: str, values: DataFrame, value: str) -> DataFrame:
 
     A null among the values rejects every row; a null key passes only an empty list.
     Spark would broadcast the whole right side for this; here the right side is joined
-    as a plain anti-join and only a one-row summary of it is broadcast.
+    as a plain anti-join and only two counts of it are attached.
     """
     right = values.select(F.col(value).alias("_v"))
     summary = right.agg(F.count(F.lit(1)).alias("_n"), F.count("_v").alias("_known"))

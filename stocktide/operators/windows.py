@@ -31,15 +31,23 @@ def fill_down(df: DataFrame, key: str, pos: str, source: str | None = None, bloc
     return out.where(F.col(key).isNotNull()) if drop_leading else out
 
 
-def block_bounds(df: DataFrame, key: str, pos: str, source: str | None = None) -> DataFrame:
-    """First and last position of every key's block (the last block ends at the source's end)."""
-    by = [source] if source else []
-    firsts = df.where(F.col(key).isNotNull()).groupBy(*by, key).agg(F.min(pos).alias("min_pos"))
-    ends = df.groupBy(*by).agg(F.max(pos).alias("_end")) if by else df.agg(F.max(pos).alias("_end"))
-    nxt = F.lead("min_pos").over((Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("min_pos"))
-    led = firsts.withColumn("_next", nxt)
-    led = led.join(ends, by, "left") if by else led.crossJoin(F.broadcast(ends))
-    return led.select(*by, key, "min_pos", F.coalesce(F.col("_next") - 1, F.col("_end")).alias("max_pos"))
+def block_bounds(df: DataFrame, key: str, pos: str, source: str | None = None, block_rows: int = 1_000_000) -> DataFrame:
+    """First and last position of every key's block (the last block ends at the source's end).
+
+    The next key's start is looked up inside a position range first; only the first start of
+    each range goes through the window over ranges.
+    """
+    src = (F.col(source) if source else F.lit("")).alias("_src")
+    cut = df.select(src, F.col(key), F.col(pos))
+    firsts = cut.where(F.col(key).isNotNull()).groupBy("_src", key).agg(F.min(pos).alias("min_pos")).withColumn(
+        "_block", F.floor(F.col("min_pos") / F.lit(block_rows)))
+    inside = Window.partitionBy("_src", "_block").orderBy("min_pos")
+    heads = firsts.groupBy("_src", "_block").agg(F.min("min_pos").alias("_head"))
+    ends = cut.groupBy("_src").agg(F.max(pos).alias("_end"))
+    after = heads.select("_src", "_block", F.lead("_head").over(Window.partitionBy("_src").orderBy("_block")).alias("_after"))
+    led = firsts.withColumn("_next", F.lead("min_pos").over(inside)).join(after, ["_src", "_block"]).join(ends, "_src")
+    stop = F.coalesce(F.coalesce(F.col("_next"), F.col("_after")) - 1, F.col("_end"))
+    return led.select(*([F.col("_src").alias(source)] if source else []), key, "min_pos", stop.alias("max_pos"))
 
 
 def rank_in_group(df: DataFrame, by: list[str], value: str, out: str = "seq") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stocktide.operators.joining import not_in
 from stocktide.operators.windows import rank_in_group
+from stocktide.session import as_is
 
 
 def _codes(product: DataFrame) -> DataFrame:
@@ -26,11 +27,11 @@ def price_ranks(price: DataFrame) -> DataFrame:
 
 
 def activation_exceptions(plan1: DataFrame, plan2: DataFrame, product: DataFrame, active: DataFrame, alloc: DataFrame,
-                          price: DataFrame) -> dict[str, DataFrame]:
+                          price: DataFrame, stage=as_is) -> dict[str, DataFrame]:
     active = active.select("basepack_code", "material_code").distinct()
     codes = _codes(product)
-    first = _inactive(plan1.where(F.col("subs") == 1), codes, active, "activity_code")
-    second = _inactive(plan2.where(F.col("post_subs") == 1), codes, active, "post_code")
+    first = stage(_inactive(plan1.where(F.col("subs") == 1), codes, active, "activity_code"))
+    second = stage(_inactive(plan2.where(F.col("post_subs") == 1), codes, active, "post_code"))
 
     named = first.select("pack_code").union(second.select("pack_code")).distinct()
     # the order filter runs before the list test: fewer rows reach the anti-join

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stocktide.functions import or_zero, ratio, total, upper_text
+from stocktide.functions import ratio, total, upper_text
 from stocktide.operators.joining import enrich
-from stocktide.operators.reshaping import gid, melt, pivot_two_keys, sets_of
+from stocktide.operators.reshaping import melt, pivot_two_keys
+from stocktide.session import as_is
 
 FULL_KEY = ("region", "town", "channel", "outlet_type", "outlet")
 ATTRS = ("loss", "SCCF")
@@ -25,29 +26,26 @@ def loss_fill_long(typed: DataFrame, keys=FULL_KEY) -> DataFrame:
     return melt(_measures(sums), ["month", *keys], {"loss": "loss", "SCCF": "SCCF"})
 
 
-def _sums(prefix: str = ""):
-    return [total(f"{prefix}{c}").alias(f"_{c}") for c in ("loss_qty", "inv_qty", "ord_qty")]
+def _sums():
+    return [total(c).alias(f"_{c}") for c in ("loss_qty", "inv_qty", "ord_qty")]
 
 
 def _measures(df: DataFrame) -> DataFrame:
     return df.withColumns({"loss": F.col("_loss_qty"), "SCCF": ratio("_inv_qty", "_ord_qty")})
 
 
-def loss_fill_cuts(sccf: DataFrame, outlet_type: DataFrame, months: list[str], dims=FULL_KEY) -> dict[str, DataFrame]:
+def loss_fill_cuts(sccf: DataFrame, outlet_type: DataFrame, months: list[str], dims=FULL_KEY, stage=as_is) -> dict[str, DataFrame]:
     """The full-key pivot and one pivot per dimension.
 
-    The facts are folded once to month x full key; every cut is a grouping set over that.
+    The facts are folded once to month x full key (``stage`` may store that fold); every cut
+    sums the fold again, so a fill rate is always a ratio of sums.
     """
-    typed = with_type(sccf, outlet_type)
-    base = typed.groupBy("month", *FULL_KEY).agg(*_sums())
-    keys = ["month", *FULL_KEY]
-    full = melt(_measures(base), list(keys), {"loss": "loss", "SCCF": "SCCF"})
-    sheets = {"full": pivot_two_keys(full, list(FULL_KEY), "month", "attr", months, list(ATTRS))}
-
-    sets = [["month", d] for d in dims]
-    rolled = sets_of(base, sets, [total(c).alias(c) for c in ("_loss_qty", "_inv_qty", "_ord_qty")], keys)
-    long = melt(_measures(rolled), ["_gid", *keys], {"loss": "loss", "SCCF": "SCCF"})
-    for d in dims:
-        part = long.where(F.col("_gid") == gid(keys, ["month", d])).select("month", d, "attr", or_zero("val").alias("val"))
-        sheets[d] = pivot_two_keys(part, [d], "month", "attr", months, list(ATTRS))
-    return sheets
+    base = stage(with_type(sccf, outlet_type).groupBy("month", *FULL_KEY).agg(*_sums()))
+    columns = [f"_{c}" for c in ("loss_qty", "inv_qty", "ord_qty")]
+
+    def cut(keys: list[str], sums: DataFrame) -> DataFrame:
+        long = melt(_measures(sums), ["month", *keys], {"loss": "loss", "SCCF": "SCCF"})
+        return pivot_two_keys(long, keys, "month", "attr", months, list(ATTRS))
+
+    return {"full": cut(list(FULL_KEY), base),
+            **{d: cut([d], base.groupBy("month", d).agg(*[total(c).alias(c) for c in columns])) for d in dims}}

@@ -10,6 +10,7 @@ from stocktide.functions import percent_text, ratio, total
 from stocktide.operators.joining import with_total
 from stocktide.operators.ordering import top_k
 from stocktide.operators.reshaping import joined_list
+from stocktide.session import as_is
 
 CUTS = ("class", "category", "town", "company")
 SHEET_ORDER = {name: ["-order_qty"] for name in ("basepack", *CUTS)}
@@ -42,10 +43,11 @@ def short_town_list(grain: DataFrame, width: int) -> DataFrame:
     return sizes.join(head, "basepack", "left").select("basepack", text.alias("order_towns"))
 
 
-def order_cuts(orders: DataFrame, dims=CUTS, top: int = TOP_ORDERED, width: int = TOWN_LIST_WIDTH) -> dict[str, DataFrame]:
+def order_cuts(orders: DataFrame, dims=CUTS, top: int = TOP_ORDERED, width: int = TOWN_LIST_WIDTH,
+               stage=as_is) -> dict[str, DataFrame]:
     """Positive orders per basepack and per dimension, plus the top table."""
     live = orders.where(F.col("order_qty") > 0)
-    grain = town_grain(live)
+    grain = stage(town_grain(live))
     sheets = {"full": live, "basepack": basepack_cut(grain)}
     for dim in dims:
         sheets[dim] = live.groupBy(dim).agg(total("order_qty").alias("order_qty"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stocktide.functions import count_when, in_period, ratio, ratio_of_sums, total, total_when
 from stocktide.operators.joining import semi, with_total, within_window
 from stocktide.operators.reshaping import melt, pivot_mean
+from stocktide.session import as_is
 
 CONSTRAINT, REMOVED = "constraint", "removed"
 OVERALL = ("Overall SCCF", "SCCF - Constrainted/Removed", "SCCF - not Constrainted/Removed")
@@ -107,9 +108,9 @@ def summary(tagged: DataFrame, contrib: DataFrame) -> DataFrame:
 
 
 def primary_off_impact(windows: DataFrame, primary: DataFrame, secondary: DataFrame, days: list[str], start: str | None = None,
-                       stop: str | None = None) -> dict[str, DataFrame]:
-    tagged = tagged_days(windows, primary, secondary, start, stop)
-    contrib = contribution(secondary)
+                       stop: str | None = None, stage=as_is) -> dict[str, DataFrame]:
+    tagged = stage(tagged_days(windows, primary, secondary, start, stop))
+    contrib = stage(contribution(secondary))
     long = measures_long(tagged, contrib)
     return {"tagged": tagged, "long": long, "daily": daily_pivot(long, [*days, *OVERALL]), "status": status_pivot(long, days),
             "summary": summary(tagged, contrib)}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stocktide.constants import STORAGE_LOC
 from stocktide.functions import mean, sum_strict, total, total_when
 from stocktide.operators.joining import semi
+from stocktide.session import as_is
 
 ACHIEVEMENT, CONTRIBUTION = "Secondary Achievement", "Business Contribution"
 SHEET_ORDER = {"both_stock_0_live": ["-business_contribution", "secondary_achievement"]}
@@ -32,9 +33,9 @@ def customer_rows(norm: DataFrame) -> DataFrame:
 
 
 def zero_stock_live(depot_stock: DataFrame, norm: DataFrame, plant_map: DataFrame, plan: DataFrame,
-                    daily_kpi: DataFrame, loc: str = STORAGE_LOC) -> dict[str, DataFrame]:
+                    daily_kpi: DataFrame, loc: str = STORAGE_LOC, stage=as_is) -> dict[str, DataFrame]:
     """Six sheets: depot zero, depot zero by customer, customer zero, both zero, plan mismatch, summary."""
-    depots = depot_totals(depot_stock, loc)
+    depots = stage(depot_totals(depot_stock, loc))
     plants = plant_map.select("depot_code", "depot_name")
     customers = customer_rows(norm)
     empty_depots = depots.where(F.col("depot_stock") == 0)
@@ -44,7 +45,7 @@ def zero_stock_live(depot_stock: DataFrame, norm: DataFrame, plant_map: DataFram
     depot_zero = semi(empty_depots, norm, ["basepack"]).join(plants, "depot_code")
     located = customers.join(plants, "depot_name")
     located_empty = empty_customers.join(plants, "depot_name")
-    both_zero = (located_empty.join(empty_depots, ["depot_code", "basepack"]).join(kpis, "basepack", "left")
+    both_zero = stage(located_empty.join(empty_depots, ["depot_code", "basepack"]).join(kpis, "basepack", "left")
                  .where((F.col("secondary_achievement") < 1) & F.col("business_contribution").isNotNull()))
     mismatch = plan.where((F.col("secondary_vol") == 0) & (F.col("primary_vol") > 0)).select(
         "basepack", "primary_vol", "secondary_vol", "remark")

@@ -13,6 +13,7 @@ ADAPTIVE = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
@@ -39,6 +40,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     return local
 
 
+def as_is(df: DataFrame) -> DataFrame:
+    """The default stage: keep one lazy plan."""
+    return df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder (survives the loss of executors)."""
     spark = df.sparkSession

@@ -47,8 +47,8 @@ ROLES = {
         from {sales} group by o_custkey, c_name, l_partkey, n_name""",
     "plant_map": "select cast(n_nationkey as string) as depot_code, n_name as depot_name from {nation}",
     "plan_item": """select 'ITEM-' || cast(l_partkey as string) as basepack, sum(case when ls = 'F' then qty else 0.0 end) as primary_vol,
-        sum(case when ls = 'O' and rf = 'N' then qty else 0.0 end) as secondary_vol, max(p_name) as remark
-        from {sales} group by l_partkey""",
+        sum(case when ls = 'O' and rf = 'N' then qty else 0.0 end) as secondary_vol, p_name as remark
+        from {sales} group by l_partkey, p_name""",
     "item_kpi": """select 'ITEM-' || cast(l_partkey as string) as basepack, sum(qty) as contribution,
         floor(sum(case when rf = 'R' then 0.0 else qty end) / sum(qty) * 1024) / 1024.0e0 as achievement
         from {lines} group by l_partkey""",
@@ -140,8 +140,7 @@ ROLES = {
     "sku_target": """select p_brand as basepack, case when p_size < 25 then 'food' else 'care' end as business_group, p_type as category,
         qty / 64 as tgt_cr from {sales}""",
     "national_class": f"select distinct lower(p_brand) as basepack, {BRAND_CLASS} as classification from {{part}}",
-    "town_class": f"""select n_name as town, p_brand as basepack, {BRAND_CLASS} as classification
-        from (select distinct p_brand from {{part}}) as b cross join {{nation}}""",
+    "town_class": f"select distinct n_name as town, p_brand as basepack, {BRAND_CLASS} as classification from {{sales}}",
     "national_rr": """select p_brand as basepack, case when p_brand = 'Brand#7' then 0.0 else sum(qty) / 64 end as rr_3m, sum(qty) / 128 as rr_6m
         from {sales} where p_brand <> 'Brand#9' group by p_brand""",
     "town_rr": """select n_name as town, p_brand as basepack, qty / 64 as rr_3m, qty / 128 as rr_6m from {sales} where os = 'F'""",
@@ -160,14 +159,14 @@ ROLES = {
     "focus_list": """select lower(p_type) || ' ' || p_brand as sku, p_type as category, 'bg' as business_group,
         case when p_type in ('PROMO', 'SMALL', 'MEDIUM') then 'Yes - core' else 'No' end as in_list from {part}""",
     # --- replenishment ----------------------------------------------------------------------------------------------------
-    "rpl_yesterday": """select cast(o_custkey as bigint) as customer_code, max(c_name) as customer_name, l_partkey as sku_code,
-        max(p_name) as sku_desc, sum(case when rf = 'N' then qty else 0.0 end) as proposed_qty,
-        case when max(p_size) <= 3 then 0.0e0 else cast(max(p_retailprice) as double) end as price,
+    "rpl_yesterday": """select cast(o_custkey as bigint) as customer_code, c_name as customer_name, l_partkey as sku_code,
+        p_name as sku_desc, sum(case when rf = 'N' then qty else 0.0 end) as proposed_qty,
+        case when p_size <= 3 then 0.0e0 else cast(p_retailprice as double) end as price,
         sum(case when rf = 'A' then 0.0 else qty end) as norm_qty, cast(max(l_linenumber) - 1 as double) as cover_days,
         sum(case when ls = 'O' then qty else 0.0 end) as on_hand, sum(case when os = 'P' and ls = 'F' then qty else 0.0 end) as in_transit,
         sum(case when rf = 'A' and ls = 'O' then qty else 0.0 end) as open_order,
         cast(sum(case when rf = 'N' then value else 0 end) as double) as ppo_value, min(l_orderkey) as ingest_pos
-        from {sales} group by o_custkey, l_partkey""",
+        from {sales} group by o_custkey, c_name, l_partkey, p_name, p_size, p_retailprice""",
     "rpl_product": """select p_partkey as material, p_type || ' ' || p_brand as basepack, cast(floor(p_partkey / 8.0e0) as bigint) as basepack_code,
         p_type as category, case when p_type = 'MEDIUM' then 'B' else 'A' end as company from {part}""",
     "proposed_order": """select o_custkey as customer_code, l_partkey as sku_code, max(qty) as new_proposed_qty
@@ -191,9 +190,10 @@ ROLES = {
     "fund": """select c_custkey as customer_code, case when c_acctbal < 0 then 'Blocked' when c_acctbal < 2000 then 'Active' end as comment,
         'A' as company from {customer} where c_acctbal < 4000
         union all select c_custkey, 'Low balance' as comment, 'B' as company from {customer} where c_acctbal < 500""",
-    "pdp": """select c_custkey as customer_code, k.company, r_name as region, c_mktsegment as area, n_name as town, 'D-' || n_name as depot_name,
+    "pdp": """select *, 'A' as company from {pdp_base} union all select *, 'B' as company from {pdp_base}""",
+    "pdp_base": """select c_custkey as customer_code, r_name as region, c_mktsegment as area, n_name as town, 'D-' || n_name as depot_name,
         'N' as SAT, 'Y' as SUN, c_mktsegment as MON, 'Y' as TUE, n_name as WED, 'N' as THU, r_name as FRI
-        from {towns} cross join (select 'A' as company union all select 'B' as company) as k where c_acctbal > -500""",
+        from {towns} where c_acctbal > -500""",
     "rr": "select customer_code, basepack_code, returned / 16 as l6_daily_rr from {cust_pack} where returned > 0 or top_line > 5",
     "abc": """select customer_code, basepack_code, case when qty > 60 then 'A' when qty > 35 then 'B' else 'C' end as classification
         from {cust_pack} where qty > 10""",

@@ -212,3 +212,12 @@ def test_retention(make, rows):
     assert ("avg.", 5 / 3, 1.0, 1.0) in rows(retention.cohort_pivot(out, [0, 1, 2]))
     brands = retention.retention_cohort(claims, product, listed, amount_rule=False, reason=None, by="brand")
     assert rows(retention.brand_means(brands, [0, 1, 2])) == [("DOVE", 2.0, 1.0, 2.0)]
+
+
+def test_stages_do_not_change_results(make, rows):
+    from stocktide.session import cut_lineage
+
+    sccf = make([("m1", "t", "o1", "c", 8.0, 2.0, 6.0, None, "r"), ("m2", "t", "o2", "c", 4.0, 1.0, 3.0, None, "r")], "sccf_outlet")
+    types = make([("O1", "big")], "outlet_type")
+    plain, staged = (loss_fill.loss_fill_cuts(sccf, types, ["M1", "M2"], stage=s) for s in (lambda d: d, cut_lineage))
+    assert all(rows(plain[k]) == rows(staged[k]) for k in plain)
