@@ -12,6 +12,7 @@ from stocktide.session import as_is
 
 FULL_KEY = ("region", "town", "channel", "outlet_type", "outlet")
 ATTRS = ("loss", "SCCF")
+MEASURES = ("loss_qty", "inv_qty", "ord_qty")
 
 
 def with_type(sccf: DataFrame, outlet_type: DataFrame, default: str = "unspecified") -> DataFrame:
@@ -27,7 +28,7 @@ def loss_fill_long(typed: DataFrame, keys=FULL_KEY) -> DataFrame:
 
 
 def _sums():
-    return [total(c).alias(f"_{c}") for c in ("loss_qty", "inv_qty", "ord_qty")]
+    return [total(c).alias(f"_{c}") for c in MEASURES]
 
 
 def _measures(df: DataFrame) -> DataFrame:
@@ -37,11 +38,14 @@ def _measures(df: DataFrame) -> DataFrame:
 def loss_fill_cuts(sccf: DataFrame, outlet_type: DataFrame, months: list[str], dims=FULL_KEY, stage=as_is) -> dict[str, DataFrame]:
     """The full-key pivot and one pivot per dimension.
 
-    The facts are folded once to month x full key (``stage`` may store that fold); every cut
+    The facts are folded to month x outlet before the outlet's type joins them, then to the
+    full key (``stage`` may store that fold); every cut
     sums the fold again, so a fill rate is always a ratio of sums.
     """
-    base = stage(with_type(sccf, outlet_type).groupBy("month", *FULL_KEY).agg(*_sums()))
-    columns = [f"_{c}" for c in ("loss_qty", "inv_qty", "ord_qty")]
+    key = ["month", "region", "town", "channel", "outlet"]
+    folded = upper_text(sccf).groupBy(*key).agg(*[total(c).alias(c) for c in MEASURES])
+    base = stage(with_type(folded, outlet_type).groupBy("month", *FULL_KEY).agg(*_sums()))
+    columns = [f"_{c}" for c in MEASURES]
 
     def cut(keys: list[str], sums: DataFrame) -> DataFrame:
         long = melt(_measures(sums), ["month", *keys], {"loss": "loss", "SCCF": "SCCF"})

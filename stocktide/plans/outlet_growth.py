@@ -30,7 +30,7 @@ def year_pair(this_year: DataFrame, last_year: DataFrame) -> DataFrame:
     return full_zero(now, then, KEYS)
 
 
-def growth_rows(pair: DataFrame) -> DataFrame:
+def growth_rows(pair: DataFrame, keep=()) -> DataFrame:
     """Type 1 holds the values and growth; type 2 the month-on-month deltas. One scan makes both."""
     months = ["dec_ly", *[f"{m}_ty" for m in YTD]]
     values = F.struct(*[F.col(m).cast("double").alias(m) for m in months], F.col("total_ty").cast("double").alias("total_ty"),
@@ -39,7 +39,7 @@ def growth_rows(pair: DataFrame) -> DataFrame:
     steps = [c.cast("double").alias(m) for c, m in zip(column_deltas(months), months)]
     moved = F.struct(*steps, sum_strict(*[c for c in steps[1:]]).alias("total_ty"), F.lit(0.0).alias("total_ly"),
                      F.lit(0.0).alias("growth"), F.lit(2).alias("typ"))
-    return pair.select(*KEYS, F.explode(F.array(values, moved)).alias("_r")).select(*KEYS, "_r.*")
+    return pair.select(*KEYS, *keep, F.explode(F.array(values, moved)).alias("_r")).select(*KEYS, "_r.*", *keep)
 
 
 def contribution(pair: DataFrame, by: str, name: str) -> DataFrame:
@@ -55,9 +55,10 @@ def outlet_growth(this_year: DataFrame, last_year: DataFrame, stage=as_is) -> di
     pair = stage(year_pair(this_year, last_year))
     outlets = contribution(pair, "outlet_code", "outlet")
     packs = contribution(pair, "basepack", "basepack")
-    rows = growth_rows(pair)
-    detail = (rows.join(outlets.select("outlet_code", "outlet_bc"), "outlet_code")
+    # the contributions join before each row becomes two
+    shared = (pair.join(outlets.select("outlet_code", "outlet_bc"), "outlet_code")
               .join(packs.select("basepack", "basepack_bc"), "basepack"))
+    detail = growth_rows(shared, ("outlet_bc", "basepack_bc"))
     # the sum of the deltas telescopes to last month minus the december before
     change = F.col("sep_ty") - F.col("dec_ly")
     known = F.col("outlet_code").isNotNull() & F.col("basepack").isNotNull()

@@ -15,12 +15,13 @@ KEYS = ["town", "basepack", "cls"]
 def overstock_index(rpl: DataFrame, cls: DataFrame, towns: list[str] | None = None) -> DataFrame:
     """Rows per (town, basepack), (town, overall) and (town, class) from one grouping-sets pass.
 
-    The facts are folded to (town, basepack, class) first, so the sets expand small rows.
+    The facts are folded to (town, basepack) before the class joins them, so a hot item sends
+    one row per task and the sets expand small rows. A repeated class row counts again.
     """
     facts = rpl.where(F.col("town").isin(*towns)) if towns else rpl
-    tagged = facts.join(cls.select("town", "basepack", F.col("classification").alias("cls")), ["town", "basepack"])
-    base = tagged.groupBy(*KEYS).agg(F.count("basepack").alias("_n"), total("norm_qty").alias("_norm"),
-                                     total("proposed_qty").alias("_prop"), total("on_hand").alias("_stock"))
+    folded = facts.groupBy("town", "basepack").agg(F.count("basepack").alias("_n"), total("norm_qty").alias("_norm"),
+                                                   total("proposed_qty").alias("_prop"), total("on_hand").alias("_stock"))
+    base = folded.join(cls.select("town", "basepack", F.col("classification").alias("cls")), ["town", "basepack"])
     sets = sets_of(base, [["town", "basepack"], ["town"], ["town", "cls"]],
                    [F.sum("_n").alias("sku_count"), total("_norm").alias("norm_qty"), total("_prop").alias("proposed_qty"),
                     total("_stock").alias("stock_on_hand")], KEYS)

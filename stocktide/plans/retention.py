@@ -19,9 +19,10 @@ def focus_items(listed: DataFrame, pattern: str = "%yes%") -> DataFrame:
 
 
 def listed_claims(claims: DataFrame, product: DataFrame, listed: DataFrame) -> DataFrame:
-    """Claims of listed items, one row per claim and matching item."""
+    """Claims of listed items, one row per claim and matching item. The two small tables join first."""
     names = product.select("basepack", "material_desc").distinct()
-    return claims.join(names, "material_desc").join(focus_items(listed), "basepack").select(
+    items = names.join(focus_items(listed), "basepack").select("material_desc", "brand")
+    return claims.join(items, "material_desc").select(
         month_key("claim_date").alias("claim_month"), "distributor_code", "brand", "reason", "received_amount")
 
 

@@ -19,19 +19,22 @@ def label_lists(ps: DataFrame, ns: DataFrame) -> DataFrame:
 
 def enrich_returns(visits: DataFrame, outlets: DataFrame, product: DataFrame, ps: DataFrame, ns: DataFrame,
                    fefo: DataFrame, on_duplicate: str = "keep") -> DataFrame:
-    """Five left joins. Codes compare as text; a flag is 1 or null."""
+    """Five left joins. Codes compare as text; a flag is 1 or null.
+
+    The flags depend on the basepack alone, so the lists join the product table and the facts
+    join only that and the outlets.
+    """
     wanted = {f.name: f.dataType.simpleString() for f in schema("visits").fields}
     facts = ensure_columns(visits, wanted)
     geo = outlets.select("outlet_code", "region", "area", "territory", "town", "route_code")
     packs = product.select(F.col("material").cast("string").alias("sku_code"), "basepack")
     out = enrich(facts, geo, ["outlet_code"], on_duplicate)
-    out = enrich(out, packs, ["sku_code"], on_duplicate)
     labelled = label_lists(ps, ns)
     lists = {"ps_sku": labelled.where(F.col("psns_label") == "PS"), "ns_sku": labelled.where(F.col("psns_label") == "NS"),
              "fefo_sku": fefo}
     for flag, listed in lists.items():
-        out = enrich(out, listed.select(F.col("sku").alias("basepack"), F.lit(1).alias(flag)), ["basepack"], on_duplicate)
-    return out.select("region", "area", "territory", "town", "outlet_code", "outlet_name", "channel", "route",
+        packs = enrich(packs, listed.select(F.col("sku").alias("basepack"), F.lit(1).alias(flag)), ["basepack"], on_duplicate)
+    return enrich(out, packs, ["sku_code"], on_duplicate).select("region", "area", "territory", "town", "outlet_code", "outlet_name", "channel", "route",
                       "route_code", "sso", "sku_code", "sku_desc", "basepack", *FLAGS, "pack_size", "reason", "qty_ctn",
                       "qty_pc", "price_ctn", "value", "secondary_sales", "damage_pct", "company_code")
 
