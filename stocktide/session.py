@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,28 +16,37 @@ ADAPTIVE = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
-def configure(builder: SparkSession.Builder, **extra: str) -> SparkSession.Builder:
-    """Apply the adaptive settings, then any overrides."""
-    for key, value in {**ADAPTIVE, **extra}.items():
+def configure(builder: SparkSession.Builder, partitions: int = 4000, **extra: str) -> SparkSession.Builder:
+    """Apply the adaptive settings, then any overrides.
+
+    ``partitions`` is the number of shuffle partitions before adaptive merging, so it bounds the size of the largest task;
+    small results are merged back at run time.
+    """
+    ceiling = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions)}
+    for key, value in {**ADAPTIVE, **ceiling, **extra}.items():
         builder = builder.config(key, value)
     return builder
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a fresh local one only where none is set."""
+    """The folder that driver and executors share, as the session names it; an error where it names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rsplit("/", 1)[0]
-    local = tempfile.mkdtemp(prefix="stocktide-")
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage, survives the loss of executors."""
+    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def as_is(df: DataFrame) -> DataFrame:

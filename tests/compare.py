@@ -73,7 +73,7 @@ def main(argv):
     from stocktide.session import configure
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
-    spark = configure(SparkSession.builder.master("local[8]"), **{
+    spark = configure(SparkSession.builder.master("local[8]"), partitions=8, **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "16g"}).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     con, oracle = connect(sf_dir), entry.oracle_sql()

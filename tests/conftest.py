@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
     from stocktide.session import configure
 
     builder = SparkSession.builder.master("local[8]").appName("tests")
-    session = configure(builder, **{
+    session = configure(builder, partitions=4, **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint"))}).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
