@@ -51,3 +51,8 @@ def pairs_of(hashes: Column, step: int = 1) -> Column:
 def settled(value: Column) -> Column:
     """The same value, computed where it stands: a filter on it is not moved below, which would copy its whole expression."""
     return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
+def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
+    """The frame with a broadcast hint if it has at most ``rows`` rows, counted first; otherwise as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
