@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stocktide.llm import quality_rules
+from stocktide.llm import mixing, packing, pii, quality_rules, simhash
 from stocktide.session import stage_table
 
 
@@ -13,7 +14,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES = [("quality_rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component."""
+    return simhash.keep_one(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with personal data and disclosing terms replaced, and ``n_chars`` counted again."""
+    fixed = pii.sanitise(docs)
+    return fixed.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast("long")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as many times as the mix takes it."""
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_duplicates), ("pii", personal_data), ("mixing", mix), ("packing", pack)]
 
 #: The stages hash, tokenize and rewrite texts, which SQL cannot express.
 ORACLE_SQL = None
