@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stocktide.llm import mixing, packing, pii, quality_rules, simhash
+from stocktide.llm import mixing, packing, pii, quality_rules, simhash, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_features(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -32,7 +36,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op3_simhash_near_dedup, op4_pii, op7_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mixing, op3_simhash_near_dedup, op4_pii, op7_packing, op9_url_filters, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
