@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stocktide.llm import mixing, packing, pii, quality_rules, simhash, url_filters
+from stocktide.llm import embeddings, mixing, packing, pii, quality_rules, simhash, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op3_simhash_near_dedup, op4_pii, op7_packing, op9_url_filters, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mixing, op3_simhash_near_dedup, op4_pii, op5_embedding_near_dedup, op7_packing, op9_url_filters, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
