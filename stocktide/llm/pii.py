@@ -117,7 +117,7 @@ def context_words(found: DataFrame) -> DataFrame:
         rows = rows.withColumn("kept", F.filter(F.filter(placed, lambda x, i: whole(i)), lambda x: x["term"] != ""))  # noqa: B023
         near = F.slice("kept", 1, REACH) if side == "after" else F.slice("kept", F.greatest(F.size("kept") - REACH + 1, F.lit(1)), F.lit(REACH))
         rows = rows.withColumn(f"near_{side}", near)
-    rows = rows.withColumn("near", F.concat("near_before", "near_after"))
+    rows = rows.withColumn("near", settled(F.concat("near_before", "near_after")))
     rows = rows.withColumn("place", F.xxhash64(F.transform("near", lambda y: y["term"])))
     return rows.select("row", "entity", "place", F.explode("near").alias("x")).select("row", "entity", "place", "x.*")
 
@@ -148,7 +148,7 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, entities: DataFrame, text
 
 def _term_spans(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     """Rows (row, terms): the disclosing words of each staged row as an array of (kind, start, end, value)."""
-    near = context_words(found)
+    near = stage_table(context_words(found), "context")
     entities = found.select(F.explode(F.transform("spans", _entity)).alias("entity"))
     flagged = disclosing_terms(docs, near.select("entity", "place", "term"), entities, text)
     hits = near.join(flagged, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("disclosure").alias("most"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stocktide.llm import embeddings, mixing, packing, pii, quality_rules, simhash, url_filters
+from stocktide.llm import embeddings, mixing, packing, pii, quality_rules, sharding, simhash, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(_table(spark, sf_dir, "documents"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.with_shard(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), "shard", "depth",
+                                            "shard_bytes", "shard_docs", "oversized")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -40,8 +47,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op3_simhash_near_dedup, op4_pii, op5_embedding_near_dedup, op7_packing, op9_url_filters, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mixing, op2_sharding, op3_simhash_near_dedup, op4_pii, op5_embedding_near_dedup, op7_packing, op9_url_filters, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL}
+    return {"op1_mixing": mixing.SQL, "op2_sharding": sharding.sql()}
