@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocktide.llm import embeddings, mixing, packing, pii, quality_rules, sharding, simhash, url_filters
+from stocktide.llm import co_training, embeddings, mixing, packing, pii, quality_rules, sharding, simhash, tool_calls, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +16,18 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co_training.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link_calls(tool_calls.as_tool_messages(_table(spark, sf_dir, "conversations")), tool_calls.SCHEMAS)
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -47,7 +55,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_sharding, op3_simhash_near_dedup, op4_pii, op5_embedding_near_dedup, op7_packing, op9_url_filters, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mixing, op2_sharding, op3_simhash_near_dedup, op4_pii, op5_embedding_near_dedup, op6_quality_classifier,
+                                   op7_packing, op8_tool_calls, op9_url_filters, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
