@@ -2,8 +2,8 @@
 
 Method. After a random rotation the coordinates are cut into blocks, each with a code of random directions; a filter is one
 direction per block, so a small code stands for a very large number of filters (a random product code). A vector belongs to every
-filter on which its score passes the cap's height; these are found by list decoding: block by block, partial sums that the best
-remaining directions cannot lift to the height are dropped. Vectors that share a filter are compared by cosine in double
+filter on which its score passes the cap's height, or to its nearest one if it passes none; these are found by list decoding:
+block by block, partial sums that the best remaining directions cannot lift to the height are dropped. Vectors that share a filter are compared by cosine in double
 precision, so no link below ``LEAST`` is ever made.
 
 The height and the number of filters follow from the number n of distinct vectors: a filter is to hold ``FILL`` vectors on average,
@@ -86,6 +86,8 @@ class Filters:
                 total = sums[:, None] + s[k][can][None, :]
                 i, j = np.nonzero(total >= need)
                 sums, names = total[i, j], names[i] * self.size + can[j]
+            if not len(names):  # under every cap: the nearest filter
+                names = np.array([sum(int(s[k].argmax()) * self.size ** (self.blocks - 1 - b) for b, s in enumerate(scores))])
             out.append(np.sort(names))
         return out
 
