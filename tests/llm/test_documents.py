@@ -17,6 +17,12 @@ from stocktide.llm import mixing, packing, pii, quality_rules, sharding, simhash
 SF = "/root/testdata/sf0.001"
 
 
+def duck():
+    link = connect(SF)
+    link.execute(f"create or replace view documents as select * from '{SF}/documents.parquet'")
+    return link
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
@@ -154,7 +160,7 @@ def test_pii_edges(edge):
 
 
 def test_mixing_is_its_sql(spark):
-    ok, n, m, note = compare(spark, connect(SF), SF, lambda s, d: mixing.mix_sizes(s.read.parquet(f"{d}/documents.parquet")), mixing.SQL)
+    ok, n, m, note = compare(spark, duck(), SF, lambda s, d: mixing.mix_sizes(s.read.parquet(f"{d}/documents.parquet")), mixing.SQL)
     assert ok and n == m, note
 
 
@@ -213,7 +219,7 @@ def test_sharding_is_its_sql(spark, limit):
         slim = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
         size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")
         return sharding.with_shard(slim, limit=limit).select("doc_id", size, "shard", "depth", "shard_bytes", "shard_docs", "oversized")
-    ok, n, m, note = compare(spark, connect(SF), SF, query, sharding.sql(limit))
+    ok, n, m, note = compare(spark, duck(), SF, query, sharding.sql(limit))
     assert ok and n == m, note
 
 
