@@ -21,17 +21,29 @@ def melt(df: DataFrame, ids: list[str], measures: dict[str, str], name: str = "a
     return df.select(*ids, pairs.alias("_m")).select(*ids, f"_m.{name}", f"_m.{value}")
 
 
-def pivot_sum(df: DataFrame, index: list[str], column: str, values: list, value: str = "val") -> DataFrame:
+def listed(df: DataFrame, column: str, values: list, other: str | None = None) -> DataFrame:
+    """Guard of a pivot's fixed list: a value outside it fails the job, or goes to the column ``other``."""
+    c = F.col(column)
+    stray = F.lit(other) if other is not None else F.raise_error(
+        F.concat(F.lit(f"value of {column} outside the pivot list: "), c.cast("string")))
+    return df.withColumn(column, F.when(c.isNull() | c.isin(values), c).otherwise(stray))
+
+
+def _columns(values: list, other: str | None) -> list:
+    return [*values, other] if other is not None else values
+
+
+def pivot_sum(df: DataFrame, index: list[str], column: str, values: list, value: str = "val", other: str | None = None) -> DataFrame:
     """Sum pivot with report rules: null index or column keys are left out, a null value
-    counts as zero inside a cell that has rows, a cell without rows stays null."""
+    counts as zero inside a cell that has rows, a cell without rows stays null. A value outside ``values`` fails, or counts in the column ``other``."""
     known = df.where(_all_known([*index, column]))
-    return known.groupBy(*index).pivot(column, values).agg(F.sum(or_zero(F.col(value).cast("double"))))
+    return listed(known, column, values, other).groupBy(*index).pivot(column, _columns(values, other)).agg(F.sum(or_zero(F.col(value).cast("double"))))
 
 
-def pivot_mean(df: DataFrame, index: list[str], column: str, values: list, value: str = "val") -> DataFrame:
-    """Mean pivot; rows without any value are left out."""
+def pivot_mean(df: DataFrame, index: list[str], column: str, values: list, value: str = "val", other: str | None = None) -> DataFrame:
+    """Mean pivot; rows without any value are left out. A value outside ``values`` fails, or counts in the column ``other``."""
     known = df.where(_all_known([*index, column, value]))
-    return known.groupBy(*index).pivot(column, values).agg(F.avg(F.col(value)))
+    return listed(known, column, values, other).groupBy(*index).pivot(column, _columns(values, other)).agg(F.avg(F.col(value)))
 
 
 def pivot_two_keys(df: DataFrame, index: list[str], outer: str, inner: str, outer_values: list, inner_values: list,
@@ -43,13 +55,13 @@ def pivot_two_keys(df: DataFrame, index: list[str], outer: str, inner: str, oute
 
 
 def pivot_single(df: DataFrame, index: list[str], column: str, values: list, measures: list[str]) -> DataFrame:
-    """Pivot without aggregation: the job fails if a cell would hold two rows."""
+    """Pivot without aggregation: the job fails if a cell would hold two rows or a value is outside ``values``."""
     def once(m):
         clash = F.raise_error(F.lit("pivot cell holds more than one row"))
         return F.when(F.count(F.lit(1)) > 1, clash).otherwise(F.max(m))
 
     aggs = [once(m).alias(m) for m in measures]
-    wide = df.where(F.col(column).isNotNull()).groupBy(*index).pivot(column, values).agg(*aggs)
+    wide = listed(df.where(F.col(column).isNotNull()), column, values).groupBy(*index).pivot(column, values).agg(*aggs)
     if len(measures) == 1:
         return wide.select(*index, *[F.col(f"`{v}`").alias(f"{measures[0]}_{v}") for v in values])
     return wide.select(*index, *[F.col(f"`{v}_{m}`").alias(f"{m}_{v}") for m in measures for v in values])
@@ -103,17 +115,23 @@ def with_grand_total(df: DataFrame, keys: list[str], measures: list[str], label:
 
 def cross_totals(df: DataFrame, row: str, column: str, values: list[str], measure: str, label: str = "Total",
                  complete: Column | None = None) -> DataFrame:
-    """Two-way pivot of sums with row totals, column totals and a grand total (totals count complete rows)."""
+    """Two-way pivot of sums with row totals, column totals and a grand total (totals count complete rows).
+
+    A row key equal to ``label`` keeps a row of its own; a column value outside ``values`` fails.
+    """
+    if label in values:
+        raise ValueError(f"the total label {label!r} is also a column value")
     fits = F.col(measure).isNotNull() if complete is None else complete
-    base = df.where(_all_known([row, column])).groupBy(row, column).agg(
-        total(measure).alias("_g"), total(F.when(fits, F.col(measure))).alias("_t"), F.max(fits).alias("_fit"))
+    base = listed(df.where(_all_known([row, column])).withColumn("_fits", fits), column, values).groupBy(row, column).agg(
+        total(measure).alias("_g"), total(F.when(F.col("_fits"), F.col(measure))).alias("_t"), F.max("_fits").alias("_fit"))
     cube = base.cube(row, column).agg(F.grouping_id().alias("_gid"), total("_g").alias("_g"), total("_t").alias("_t"),
                                       F.max("_fit").alias("_fit"))
     cells = cube.where((F.col("_gid") == 0) | F.col("_fit")).select(
+        (F.col("_gid") >= 2).alias("_all"),
         F.when(F.col("_gid") >= 2, F.lit(label)).otherwise(F.col(row)).alias(row),
         F.when(F.col("_gid") % 2 == 1, F.lit(label)).otherwise(F.col(column)).alias("_c"),
         or_zero(F.when(F.col("_gid") == 0, F.col("_g")).otherwise(F.col("_t"))).alias("_v"))
-    return cells.groupBy(row).pivot("_c", [*values, label]).agg(F.first("_v"))
+    return cells.groupBy(row, "_all").pivot("_c", [*values, label]).agg(F.first("_v")).drop("_all")
 
 
 def append_mean_row(df: DataFrame, key: str, measures: list[str], label: str = "avg.") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stocktide.functions import first_word, month_key, month_start, months_apart, ratio, total
 from stocktide.operators.joining import later_pairs
-from stocktide.operators.reshaping import all_known, append_mean_row, pivot_sum
+from stocktide.operators.reshaping import all_known, append_mean_row, listed, pivot_sum
 
 SHEET_ORDER = ["claim_month_from", "claim_month_to"]
 
@@ -61,4 +61,4 @@ def brand_means(cohort: DataFrame, diffs: list[int], value: str = "distributors_
     """Only the mean row of each brand's pivot: the mean over its first months."""
     known = cohort.where(F.col("month_diff").isNotNull() & F.col("claim_month_from").isNotNull() & F.col("brand").isNotNull())
     cells = known.groupBy("brand", "claim_month_from", "month_diff").agg(total(value).alias("_v"))
-    return cells.groupBy("brand").pivot("month_diff", diffs).agg(F.avg("_v"))
+    return listed(cells, "month_diff", diffs).groupBy("brand").pivot("month_diff", diffs).agg(F.avg("_v"))

@@ -32,7 +32,7 @@ def read_table(spark: SparkSession, path, fmt: str = "parquet", schema=None, col
 
 def read_many(spark: SparkSession, paths, fmt: str = "parquet", schema=None, glob: str | None = None,
               file_column: str | None = None, **options) -> DataFrame:
-    """Append many files in one scan, optionally keeping the file name."""
+    """Append many files in one scan, optionally keeping the full path of each row's file."""
     if glob:
         options["pathGlobFilter"] = glob
     df = read_table(spark, list(paths) if not isinstance(paths, str) else paths, fmt, schema, **options)
@@ -40,8 +40,8 @@ def read_many(spark: SparkSession, paths, fmt: str = "parquet", schema=None, glo
 
 
 def with_file(df: DataFrame, name: str = "source_file") -> DataFrame:
-    """Add the name of the file each row came from."""
-    return df.select("*", F.col("_metadata.file_name").alias(name))
+    """Add the full path of the file each row came from (equal names in two folders stay apart)."""
+    return df.select("*", F.col("_metadata.file_path").alias(name))
 
 
 def tag_sources(frames: dict[str, DataFrame], column: str = "source") -> DataFrame:
@@ -53,24 +53,42 @@ def tag_sources(frames: dict[str, DataFrame], column: str = "source") -> DataFra
     return out
 
 
-def read_tolerant(spark: SparkSession, paths, schema, fmt: str = "csv", **options) -> tuple[DataFrame, DataFrame]:
-    """Text files in permissive mode: (good rows, rejected rows with their file).
+def unreadable_files(df: DataFrame) -> list[str]:
+    """Full paths of the files under ``df`` that cannot be read to their end.
 
-    Unreadable files are skipped by Spark (``ignoreCorruptFiles``); a row that does
-    not fit the schema goes to the second frame with its raw text.
+    One counting pass finds the first such file and is repeated without it, so the work is one pass more than there are
+    broken files; the list holds only those.
+    """
+    broken: list[str] = []
+    while True:
+        try:
+            df.where(~F.col("_metadata.file_path").isin(broken)).count()
+            return broken
+        except Exception as fault:
+            named = re.search(r"while reading file (\S+)\.\s", str(fault))
+            if named is None or named[1] in broken:
+                raise
+            broken.append(named[1])
+
+
+def read_tolerant(spark: SparkSession, paths, schema, fmt: str = "csv", **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Text files in permissive mode: (good rows, rejected rows with their file, failed files).
+
+    A row that does not fit the schema goes to the second frame with its raw text. A file that cannot be read to its end,
+    be it broken from the start or midway, is named in the third frame and gives no rows.
     """
     spec = _schema(schema)
     full = T.StructType([*spec.fields, T.StructField(CORRUPT, T.StringType())])
-    df = with_file(
-        spark.read.format(fmt).schema(full).options(
-            mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, ignoreCorruptFiles="true", **options
-        ).load(paths)
-    )
+    every = spark.read.format(fmt).schema(full).options(
+        mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, ignoreCorruptFiles="false", **options).load(paths)
+    broken = unreadable_files(every)
+    df = with_file(every.where(~F.col("_metadata.file_path").isin(broken)))
+    failed = literal_table(spark, broken, "source_file string")
     # the text parser refuses to run for the raw text alone, so both tests read the parsed fields too
     parsed = F.length(F.concat_ws("", *[F.col(f.name).cast("string") for f in spec.fields])) >= 0
     good = df.where(F.col(CORRUPT).isNull() & parsed).drop(CORRUPT)
     rejected = df.where(F.col(CORRUPT).isNotNull() & parsed).select("source_file", F.col(CORRUPT).alias("raw"))
-    return good, rejected
+    return good, rejected, failed
 
 
 def ensure_columns(df: DataFrame, wanted: dict[str, str], drop_pattern: str | None = "^Unnamed") -> DataFrame:

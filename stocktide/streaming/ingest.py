@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from stocktide.sources.readers import _schema
 
-FILE_COLUMN = "source_file"
+#: The full path of the file a row came from, and its digest as partition key.
+FILE_COLUMN, KEY_COLUMN = "source_file", "file_key"
 
 
 def ingest_daily(spark: SparkSession, src: str, schema, dest: str, checkpoint: str, fmt: str = "csv",
                  glob: str | None = None, max_files: int | None = None, **options) -> None:
-    """Append every file not seen before to ``dest``, partitioned by file name.
+    """Append every file not seen before to ``dest``, partitioned by a digest of the
+    file's full path, so files of the same name in different folders stay apart.
 
     The file source logs the files it has read in ``checkpoint`` and never splits a file over
     micro-batches; a replayed batch overwrites just its own partitions, so a lost driver or
@@ -24,14 +26,15 @@ def ingest_daily(spark: SparkSession, src: str, schema, dest: str, checkpoint: s
         reader = reader.option("pathGlobFilter", glob)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    stream = reader.load(src).select("*", F.col("_metadata.file_name").alias(FILE_COLUMN))
+    stream = reader.load(src).select("*", F.col("_metadata.file_path").alias(FILE_COLUMN)).withColumn(KEY_COLUMN, F.sha2(FILE_COLUMN, 256))
 
     def store(batch: DataFrame, _: int) -> None:
-        (batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(FILE_COLUMN).parquet(dest))
+        (batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(KEY_COLUMN).parquet(dest))
 
     query = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
 def read_ingested(spark: SparkSession, dest: str) -> DataFrame:
-    return spark.read.parquet(dest)
+    """The accumulated rows with the full path of their file."""
+    return spark.read.parquet(dest).drop(KEY_COLUMN)
