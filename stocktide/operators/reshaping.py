@@ -1,4 +1,7 @@
-"""Totals, grouping sets, pivots and unpivots with fixed column lists."""
+"""Totals, grouping sets, pivots and unpivots.
+
+The columns of a pivot are a given list, or come from the data in two phases: the distinct values first, then the cells.
+"""
 
 from __future__ import annotations
 
@@ -29,33 +32,70 @@ def listed(df: DataFrame, column: str, values: list, other: str | None = None) -
     return df.withColumn(column, F.when(c.isNull() | c.isin(values), c).otherwise(stray))
 
 
-def _columns(values: list, other: str | None) -> list:
-    return [*values, other] if other is not None else values
+#: Most columns that a pivot takes from its data: ten years of days.
+MOST_COLUMNS = 3_660
+
+
+def found_values(df: DataFrame, column: str, most: int = MOST_COLUMNS) -> list:
+    """First phase of a pivot over open values: the known values of ``column`` in order, read in a job of its own.
+
+    More than ``most`` are an error, so neither the driver nor the result's width follows the size of the data; a column
+    without such a bound belongs in ``pivot_map``.
+    """
+    found = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values; use pivot_map")
+    return sorted(found)
+
+
+def _cells(df: DataFrame, index: list[str], column: str, values: list | None, other: str | None):
+    """Second phase: rows grouped and spread over the columns, found or listed."""
+    if values is None:
+        if other is not None:
+            raise ValueError("a column for other values needs a list of values")
+        return df.groupBy(*index).pivot(column, found_values(df, column))
+    return listed(df, column, values, other).groupBy(*index).pivot(column, [*values, other] if other is not None else values)
+
+
+def pivot_map(df: DataFrame, index: list[str], column: str, cell: Column) -> DataFrame:
+    """A pivot with any number of columns: one map ``cells`` from column value to ``cell`` per index, null columns left out.
+
+    Cells are folded by (index, column) first, so a map holds one entry per distinct column value of its index.
+    """
+    cells = df.where(F.col(column).isNotNull()).groupBy(*index, column).agg(cell.alias("_cell"))
+    return cells.groupBy(*index).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(column), F.col("_cell"))))).alias("cells"))
 
 
-def pivot_sum(df: DataFrame, index: list[str], column: str, values: list, value: str = "val", other: str | None = None) -> DataFrame:
+def pivot_sum(df: DataFrame, index: list[str], column: str, values: list | None = None, value: str = "val", other: str | None = None) -> DataFrame:
     """Sum pivot with report rules: null index or column keys are left out, a null value
-    counts as zero inside a cell that has rows, a cell without rows stays null. A value outside ``values`` fails, or counts in the column ``other``."""
+    counts as zero inside a cell that has rows, a cell without rows stays null. A value outside ``values`` fails, or counts in the column ``other``;
+    without ``values`` the columns come from the data."""
     known = df.where(_all_known([*index, column]))
-    return listed(known, column, values, other).groupBy(*index).pivot(column, _columns(values, other)).agg(F.sum(or_zero(F.col(value).cast("double"))))
+    return _cells(known, index, column, values, other).agg(F.sum(or_zero(F.col(value).cast("double"))))
 
 
-def pivot_mean(df: DataFrame, index: list[str], column: str, values: list, value: str = "val", other: str | None = None) -> DataFrame:
-    """Mean pivot; rows without any value are left out. A value outside ``values`` fails, or counts in the column ``other``."""
+def pivot_mean(df: DataFrame, index: list[str], column: str, values: list | None = None, value: str = "val", other: str | None = None) -> DataFrame:
+    """Mean pivot; rows without any value are left out. A value outside ``values`` fails, or counts in the column ``other``;
+    without ``values`` the columns come from the data."""
     known = df.where(_all_known([*index, column, value]))
-    return listed(known, column, values, other).groupBy(*index).pivot(column, _columns(values, other)).agg(F.avg(F.col(value)))
+    return _cells(known, index, column, values, other).agg(F.avg(F.col(value)))
 
 
-def pivot_two_keys(df: DataFrame, index: list[str], outer: str, inner: str, outer_values: list, inner_values: list,
-                   value: str = "val") -> DataFrame:
-    """Pivot on two column levels with flat names ``outer_inner``."""
+def pivot_two_keys(df: DataFrame, index: list[str], outer: str, inner: str, outer_values: list | None = None,
+                   inner_values: list | None = None, value: str = "val") -> DataFrame:
+    """Pivot on two column levels with flat names ``outer_inner``; a level without a list is found in the data."""
+    known = df.where(_all_known([*index, outer, inner]))
+    outer_values = found_values(known, outer) if outer_values is None else outer_values
+    inner_values = found_values(known, inner) if inner_values is None else inner_values
     names = [f"{o}_{i}" for o in outer_values for i in inner_values]
     flat = df.where(_all_known([outer, inner])).withColumn("_pair", F.concat_ws("_", F.col(outer), F.col(inner)))
     return pivot_sum(flat, index, "_pair", names, value)
 
 
-def pivot_single(df: DataFrame, index: list[str], column: str, values: list, measures: list[str]) -> DataFrame:
-    """Pivot without aggregation: the job fails if a cell would hold two rows or a value is outside ``values``."""
+def pivot_single(df: DataFrame, index: list[str], column: str, values: list | None, measures: list[str]) -> DataFrame:
+    """Pivot without aggregation: the job fails if a cell would hold two rows or a value is outside ``values`` (None: found in the data)."""
+    values = found_values(df, column) if values is None else values
+
     def once(m):
         clash = F.raise_error(F.lit("pivot cell holds more than one row"))
         return F.when(F.count(F.lit(1)) > 1, clash).otherwise(F.max(m))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from stocktide.functions import count_when, in_period, ratio, ratio_of_sums, total, total_when
 from stocktide.operators.joining import semi, with_total, within_window
-from stocktide.operators.reshaping import melt, pivot_mean
-from stocktide.session import as_is
+from stocktide.operators.reshaping import found_values, listed, melt, pivot_mean
+from stocktide.session import staged
 
 CONSTRAINT, REMOVED = "constraint", "removed"
 OVERALL = ("Overall SCCF", "SCCF - Constrainted/Removed", "SCCF - not Constrainted/Removed")
@@ -84,15 +84,25 @@ def measures_long(tagged: DataFrame, contrib: DataFrame) -> DataFrame:
     return daily.unionByName(overall).unionByName(state).join(contrib, "basepack")
 
 
-def daily_pivot(long: DataFrame, columns: list[str]) -> DataFrame:
-    """Numeric measures by day (mean of a cell) with the three overall columns."""
+#: Status texts in rising order of precedence on a day with two of them.
+STATES = ("constrainted", "no data", "on", "removed")
+
+
+def daily_pivot(long: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Numeric measures by day (mean of a cell) with the overall columns: all days with a value, or the listed columns and no others."""
     return pivot_mean(long, ["contribution", "basepack", "measure"], "report_date", columns)
 
 
-def status_pivot(long: DataFrame, days: list[str]) -> DataFrame:
-    """Status text by day; on a day with two states 'removed' wins over 'constrainted'."""
-    only = long.where(F.col("measure") == STATUS_MEASURE)
-    return only.groupBy("contribution", "basepack").pivot("report_date", days).agg(F.max("status_text"))
+def status_pivot(long: DataFrame, days: list[str] | None = None) -> DataFrame:
+    """Status text by day, of all days or of the listed ones (another day fails); of two states on a day the later of ``STATES`` holds.
+
+    States are folded as small numbers, which fill all days of a row in one pass.
+    """
+    names, index = F.array(*map(F.lit, STATES)), ["contribution", "basepack"]
+    only = long.where(F.col("measure") == STATUS_MEASURE).withColumn("_state", F.array_position(names, F.col("status_text")).cast("int"))
+    days = found_values(only, "report_date") if days is None else days
+    wide = listed(only, "report_date", days).groupBy(*index).pivot("report_date", days).agg(F.max("_state"))
+    return wide.select(*index, *[F.get(names, F.col(f"`{d}`") - 1).alias(d) for d in days])
 
 
 def summary(tagged: DataFrame, contrib: DataFrame) -> DataFrame:
@@ -107,10 +117,11 @@ def summary(tagged: DataFrame, contrib: DataFrame) -> DataFrame:
     return tagged.join(contrib, "basepack").groupBy("contribution", "basepack").agg(*aggs)
 
 
-def primary_off_impact(windows: DataFrame, primary: DataFrame, secondary: DataFrame, days: list[str], start: str | None = None,
-                       stop: str | None = None, stage=as_is) -> dict[str, DataFrame]:
+def primary_off_impact(windows: DataFrame, primary: DataFrame, secondary: DataFrame, days: list[str] | None = None, start: str | None = None,
+                       stop: str | None = None, stage=staged) -> dict[str, DataFrame]:
+    """All sheets; the pivots show every day of the data, or exactly ``days``. The shared parts are written once by ``stage``."""
     tagged = stage(tagged_days(windows, primary, secondary, start, stop))
     contrib = stage(contribution(secondary))
-    long = measures_long(tagged, contrib)
-    return {"tagged": tagged, "long": long, "daily": daily_pivot(long, [*days, *OVERALL]), "status": status_pivot(long, days),
+    long = stage(measures_long(tagged, contrib))
+    return {"tagged": tagged, "long": long, "daily": daily_pivot(long, [*days, *OVERALL] if days else None), "status": status_pivot(long, days),
             "summary": summary(tagged, contrib)}

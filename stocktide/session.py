@@ -49,6 +49,11 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """A stage for analyses with several results: their shared part is written once."""
+    return stage_table(df, "stage")
+
+
 def as_is(df: DataFrame) -> DataFrame:
     """The default stage: keep one lazy plan."""
     return df

@@ -37,9 +37,31 @@ def spot(i: Inputs, name: str) -> str:
 add("s00_scan_table", lambda i: readers.read_table(i.spark, path(i, "customer")), "select * from {customer}")
 add("s01_scan_columns", lambda i: readers.read_table(i.spark, path(i, "orders"), columns=["o_orderkey", "o_custkey", "o_totalprice"]),
     "select o_orderkey, o_custkey, o_totalprice from {orders}")
-add("s02_scan_many_files", lambda i: readers.read_many(
-        i.spark, i.sf_dir, schema="s_suppkey long, s_name string, s_nationkey int, s_acctbal double", glob="supplier.parquet", file_column="source_file"),
-    "select *, 'supplier.parquet' as source_file from {supplier}")
+
+
+def folder(c: str = "source_file"):
+    """The folder that a row's file was written to."""
+    return F.regexp_extract(c, "/folder=([^/]+)/[^/]+$", 1).alias("folder")
+
+
+def _many_files(i: Inputs):
+    """Suppliers written as one folder of files per nation, scanned as one table."""
+    out = spot(i, "files")
+    writers.write_table(i.supplier.withColumn("folder", C("s_nationkey")), out, "csv", partition_by=["folder"])
+    back = readers.read_many(i.spark, out, "csv", "s_suppkey long, s_name string, s_nationkey int, s_acctbal double", glob="*.csv",
+                             file_column="source_file", recursiveFileLookup="true")
+    return back.select(*i.supplier.columns, folder())
+
+
+def _file_rows(i: Inputs):
+    """Rows per file of the lines, written as one folder of files per return flag."""
+    out = spot(i, "counted")
+    writers.write_table(i.lineitem.withColumn("folder", C("l_returnflag")), out, partition_by=["folder"])
+    counts = writers.row_counts(readers.read_many(i.spark, out, recursiveFileLookup="true"))
+    return counts.groupBy(folder()).agg(F.sum("rows").alias("rows"))
+
+
+add("s02_scan_many_files", _many_files, "select *, cast(s_nationkey as varchar) as folder from {supplier}")
 add("s03_tag_sources", lambda i: readers.tag_sources({
         "customer": i.customer.select(C("c_name").alias("name"), C("c_nationkey").alias("nation"), C("c_mktsegment").alias("segment")),
         "supplier": i.supplier.select(C("s_name").alias("name"), C("s_nationkey").alias("nation"))}),
@@ -53,7 +75,7 @@ def _tolerant(i: Inputs):
     text = i.orders.select("o_orderkey", F.when(C("o_orderstatus") == "P", F.lit("n/a")).otherwise(C("o_custkey").cast("string")).alias("code"),
                            "o_orderstatus")
     writers.write_table(text, out, "csv")
-    good, bad = readers.read_tolerant(i.spark, out, "o_orderkey long, code long, o_orderstatus string")
+    good, bad, _ = readers.read_tolerant(i.spark, out, "o_orderkey long, code long, o_orderstatus string")
     kept = good.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("code").alias("codes"))
     return kept.unionByName(bad.agg(F.lit("rejected").alias("o_orderstatus"), F.count(F.lit(1)).alias("n"), F.lit(None).cast("long").alias("codes")))
 
@@ -87,18 +109,21 @@ def _write_table(i: Inputs):
 
 
 def _ingest(i: Inputs):
+    """Orders arriving in two drops of several files each; the third run finds nothing new."""
     out = spot(i, "ingest")
-    for _ in range(2):  # the second run finds nothing new
-        ingest_daily(i.spark, i.sf_dir, i.orders.schema, f"{out}/table", f"{out}/checkpoint", "parquet", glob="orders.parquet")
-    return read_ingested(i.spark, f"{out}/table")
+    files = i.orders.withColumn("folder", C("o_orderstatus"))
+    for drop in (files.where("folder = 'F'"), files.where("folder <> 'F'"), None):
+        if drop is not None:
+            writers.write_table(drop, f"{out}/drops", mode="append", partition_by=["folder"])
+        ingest_daily(i.spark, f"{out}/drops", i.orders.schema, f"{out}/table", f"{out}/checkpoint", "parquet", recursiveFileLookup="true")
+    return read_ingested(i.spark, f"{out}/table").select(*i.orders.columns, folder())
 
 
 add("s09_write_report", _write_report, """select o_orderstatus as k, count(*) as n from {orders} group by 1
     union all select o_orderpriority, count(*) from {orders} group by 1""")
 add("s10_write_table", _write_table, "select * from {orders}")
-add("s11_row_counts", lambda i: writers.row_counts(readers.read_table(i.spark, path(i, "lineitem"))),
-    "select 'lineitem.parquet' as source_file, count(*) as rows from {lineitem}")
-add("x01_ingest_daily", _ingest, "select *, 'orders.parquet' as source_file from {orders}")
+add("s11_row_counts", _file_rows, "select l_returnflag as folder, count(*) as rows from {lineitem} group by 1")
+add("x01_ingest_daily", _ingest, "select *, o_orderstatus as folder from {orders}")
 add("x02_duplicate_keys", lambda i: J.duplicate_keys(i.lineitem, ["l_orderkey", "l_linenumber"]),
     "select l_orderkey, l_linenumber, count(*) as instances from {lineitem} group by 1, 2 having count(*) > 1")
 
@@ -282,7 +307,9 @@ add("o03_top_k_then_join", lambda i: O.top_k(i.lines.groupBy("l_partkey").agg(F.
     .join(i.part.select(C("p_partkey").alias("l_partkey"), "p_name"), "l_partkey"),
     """select l_partkey, qty, p_name from (select l_partkey, sum(qty) as qty from {lines} group by 1 order by 2 desc, 1 limit 10) t
     join {part} on l_partkey = p_partkey""")
-add("o04_row_cap", lambda i: O.top_k(i.orders, 1_000_000, ["-o_totalprice", "o_orderkey"]), "select * from {orders} order by o_totalprice desc, o_orderkey limit 1000000")
+add("o04_row_cap", lambda i: O.into_sheets(i.orders, ["-o_totalprice", "o_orderkey"]),
+    """select * exclude (n), n // 1000000 as sheet, n % 1000000 as sheet_row from
+    (select *, row_number() over (order by o_totalprice desc, o_orderkey) - 1 as n from {orders}) o""")
 add("o05_text_dates_by_value", lambda i: O.sorted_days(i.sccf_daily, "report_date", E.DAY_DOTTED),
     "select distinct report_date, strptime(report_date, '%d.%m.%Y')::date as day from {sccf_daily}")
 add("u01_union_all", lambda i: label_lists(i.ps_list, i.ns_list), "select sku, 'PS' as psns_label from {ps_list} union all select sku, 'NS' from {ns_list}")
@@ -293,16 +320,17 @@ add("u04_append_different", lambda i: i.customer.select("c_custkey", "c_name").u
     "select c_custkey, c_name, null as s_acctbal from {customer} union all select null, s_name, s_acctbal from {supplier}")
 add("r01_pivot_sum", lambda i: S.pivot_sum(i.hht_orders, ["town", "company"], "category", _TYPES, "order_qty"),
     "select town, company, " + ", ".join(f"sum(case when category = '{t}' then order_qty end) as \"{t}\"" for t in _TYPES) + " from {hht_orders} group by 1, 2")
-_YEARS = ["1996", "1997", "1998"]
+# the years of the next three come from the data, on both sides
 add("r02_pivot_two_keys", lambda i: S.pivot_two_keys(S.melt(i.sccf_outlet.groupBy("region", "month").agg(F.sum("loss_qty").alias("loss"), F.sum("inv_qty").alias("inv")),
-                                                            ["region", "month"], {"loss": "loss", "inv": "inv"}), ["region"], "month", "attr", _YEARS, ["loss", "inv"]),
-    "select region, " + ", ".join(f"sum(case when month = '{y}' then {a}_qty end) as \"{y}_{a}\"" for y in _YEARS for a in ("loss", "inv"))
-    + " from {sccf_outlet} group by 1")
-add("r03_pivot_mean", lambda i: S.pivot_mean(i.sccf_outlet, ["town"], "month", _YEARS, "ord_qty"),
-    "select town, " + ", ".join(f"avg(case when month = '{y}' then ord_qty end) as \"{y}\"" for y in _YEARS) + " from {sccf_outlet} group by 1")
+                                                            ["region", "month"], {"loss": "loss", "inv": "inv"}), ["region"], "month", "attr"),
+    """select * from (pivot (select region, month || '_loss' as k, loss_qty as v from {sccf_outlet} union all select region, month || '_inv', inv_qty from {sccf_outlet})
+    on k using sum(v) group by region)""")
+add("r03_pivot_mean", lambda i: S.pivot_mean(i.sccf_outlet, ["town"], "month", value="ord_qty"),
+    "select * from (pivot (select town, month, ord_qty from {sccf_outlet}) on month using avg(ord_qty) group by town)")
 add("r04_pivot_single", lambda i: S.pivot_single(i.sccf_outlet.groupBy("town", "month").agg(F.sum("ord_qty").alias("ord"), F.sum("inv_qty").alias("inv")),
-                                                 ["town"], "month", _YEARS, ["ord", "inv"]),
-    "select town, " + ", ".join(f"sum(case when month = '{y}' then {m}_qty end) as \"{m}_{y}\"" for m in ("ord", "inv") for y in _YEARS) + " from {sccf_outlet} group by 1")
+                                                 ["town"], "month", None, ["ord", "inv"]),
+    """select * from (pivot (select town, 'ord_' || month as k, ord_qty as v from {sccf_outlet} union all select town, 'inv_' || month, inv_qty from {sccf_outlet})
+    on k using sum(v) group by town)""")
 add("r05_measures_to_long", lambda i: S.melt(i.brand_day, ["basepack", "ship_day"], {"orders": "orders", "stock": "stock"}),
     "select basepack, ship_day, 'orders' as attr, orders as val from {brand_day} union all select basepack, ship_day, 'stock', stock from {brand_day}")
 add("r06_reorder", lambda i: i.nation.select("n_name", "n_regionkey", "n_nationkey"), "select n_name, n_regionkey, n_nationkey from {nation}")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
-
 from pyspark.sql import functions as F
 
 from stocktide.plans import (
@@ -12,6 +10,7 @@ from stocktide.plans import (
 )
 from stocktide.operators.reshaping import unpivot_days
 from stocktide.operators.windows import fill_down
+from stocktide.session import staged
 from stocktide.sources.readers import literal_table
 from stocktide.workload.registry import Inputs, Registry
 
@@ -449,7 +448,6 @@ add("c14_overstock_summary", lambda i: overstock.overstock_summary(overstock_fla
 CONSTRAINTS = [("Brand#3", "1998-01-05", "1998-01-20"), ("Brand#3", "1998-03-01", "1998-03-31"), ("Brand#8", "1998-02-01", "1998-02-10"),
                ("Brand#14", "1998-01-01", "1998-06-30")]
 REMOVALS = [("Brand#3", "1998-01-15", "1998-02-05"), ("Brand#8", "1998-02-01", "1998-02-10"), ("Brand#21", "1998-05-10", "1998-05-10")]
-OFF_DAYS = [str(date(1998, 1, 1) + timedelta(days=n)) for n in range(31)]
 START, STOP = "1998-01-01", "1998-07-01"
 
 
@@ -497,13 +495,12 @@ add("c15_off_windows", lambda i: _windows(i).join(i.part.groupBy(F.col("p_brand"
 add("c15_tagged_days", _tagged, _TAG)
 add("c15_contribution", lambda i: supply_off.contribution(i.secondary_daily), _CONTRIB)
 add("c15_measures_long", _off_long, _LONG)
-add("c15_daily_pivot", lambda i: supply_off.daily_pivot(_off_long(i), [*OFF_DAYS, *supply_off.OVERALL]),
-    "select contribution, basepack, measure, " + ", ".join(f"avg(case when report_date = '{d}' then val end) as \"{d}\"" for d in
-                                                          [*OFF_DAYS, *supply_off.OVERALL])
-    + f" from ({_LONG}) x where val is not null group by 1, 2, 3")
-add("c15_status_pivot", lambda i: supply_off.status_pivot(_off_long(i), OFF_DAYS),
-    "select contribution, basepack, " + ", ".join(f"max(case when report_date = '{d}' then status_text end) as \"{d}\"" for d in OFF_DAYS)
-    + f" from ({_LONG}) x where measure = '7. Primary Status' group by 1, 2")
+# the days of both sides come from the data, each by its own engine
+add("c15_daily_pivot", lambda i: supply_off.daily_pivot(staged(_off_long(i))),
+    f"select * from (pivot (select * from ({_LONG}) x where val is not null) on report_date using avg(val) group by contribution, basepack, measure)")
+add("c15_status_pivot", lambda i: supply_off.status_pivot(staged(_off_long(i))),
+    f"""select * from (pivot (select * from ({_LONG}) x where measure = '7. Primary Status') on report_date using max(status_text)
+    group by contribution, basepack)""")
 
 
 def _cond(tag: str, cond: str) -> str:

@@ -21,7 +21,9 @@ def test_many_files_with_names_and_counts(spark, tmp_path, rows):
     put(src, "d2.csv", ["02.01.2023,a,3"])
     put(src, "note.txt", ["skip,me,1"])
     df = readers.read_many(spark, src, "csv", SCHEMA, glob="*.csv", file_column="source_file")
-    assert rows(writers.row_counts(df, "source_file")) == [("d1.csv", 2), ("d2.csv", 1)]
+    assert rows(writers.row_counts(df, "source_file")) == [(f"file:{src}/d1.csv", 2), (f"file:{src}/d2.csv", 1)]
+    put(f"{src}/more", "d1.csv", ["03.01.2023,a,1"])  # the same name in another folder stays apart
+    assert len(rows(writers.row_counts(readers.read_many(spark, [src, f"{src}/more"], "csv", SCHEMA, glob="*.csv")))) == 3
     two = readers.read_many(spark, [f"{src}/d1.csv", f"{src}/d2.csv"], "csv", SCHEMA)
     assert two.count() == 3
 
@@ -30,11 +32,12 @@ def test_tolerant_scan_lists_rejected_rows(spark, tmp_path, rows):
     src = str(tmp_path / "in")
     put(src, "good.csv", ["01.01.2023,a,1"])
     put(src, "bad.csv", ["01.01.2023,a,many", "02.01.2023,b,2"])
-    good, bad = readers.read_tolerant(spark, src, SCHEMA)
-    assert rows(good, "pack", "qty", "source_file") == [("a", 1.0, "good.csv"), ("b", 2.0, "bad.csv")]
-    assert rows(bad) == [("bad.csv", "01.01.2023,a,many")]
+    good, bad, failed = readers.read_tolerant(spark, src, SCHEMA)
+    a, b = f"file:{src}/good.csv", f"file:{src}/bad.csv"
+    assert rows(good, "pack", "qty", "source_file") == [("a", 1.0, a), ("b", 2.0, b)]
+    assert rows(bad) == [(b, "01.01.2023,a,many")] and not rows(failed)
     seen = good.select("source_file").unionByName(bad.select("source_file"))
-    assert rows(writers.reconcile(seen, good, bad)) == [("bad.csv", 2, 1, 1), ("good.csv", 1, 1, 0)]
+    assert rows(writers.reconcile(seen, good, bad)) == [(b, 2, 1, 1), (a, 1, 1, 0)]
 
 
 def test_columns_and_headings(make):
