@@ -98,11 +98,11 @@ def status_pivot(long: DataFrame, days: list[str] | None = None) -> DataFrame:
 
     States are folded as small numbers, which fill all days of a row in one pass.
     """
-    names, index = F.array(*map(F.lit, STATES)), ["contribution", "basepack"]
-    only = long.where(F.col("measure") == STATUS_MEASURE).withColumn("_state", F.array_position(names, F.col("status_text")).cast("int"))
-    days = found_values(only, "report_date") if days is None else days
-    wide = listed(only, "report_date", days).groupBy(*index).pivot("report_date", days).agg(F.max("_state"))
-    return wide.select(*index, *[F.get(names, F.col(f"`{d}`") - 1).alias(d) for d in days])
+    index, texts = ["contribution", "basepack"], ", ".join(f"'{s}'" for s in STATES)
+    only = long.where(F.col("measure") == STATUS_MEASURE).withColumn("_state", F.array_position(F.array(*map(F.lit, STATES)), F.col("status_text")).cast("int"))
+    only, days = (only, found_values(only, "report_date")) if days is None else (listed(only, "report_date", days), days)
+    wide = only.groupBy(*index).pivot("report_date", days).agg(F.max("_state"))
+    return wide.select(*index, *[F.expr(f"elt(`{d}`, {texts}) as `{d}`") for d in days])
 
 
 def summary(tagged: DataFrame, contrib: DataFrame) -> DataFrame:
