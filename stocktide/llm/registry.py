@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocktide.llm import co_training, embeddings, mixing, packing, pii, quality_rules, sharding, simhash, tool_calls, url_filters
+from stocktide.llm import co_training, collocations, embeddings, licenses, mixing, packing, pii, quality_rules, sharding, simhash, tool_calls, url_filters, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +54,23 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(_table(spark, sf_dir, "documents")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_mixing, op2_sharding, op3_simhash_near_dedup, op4_pii, op5_embedding_near_dedup, op6_quality_classifier,
-                                   op7_packing, op8_tool_calls, op9_url_filters, op10_quality_rules)}
+                                   op7_packing, op8_tool_calls, op9_url_filters, op10_quality_rules, op11_embedding_whitening,
+                                   op12_license_scans, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL, "op2_sharding": sharding.sql()}
+    return {"op1_mixing": mixing.SQL, "op2_sharding": sharding.sql(), "op13_collocations": collocations.sql()}
