@@ -32,7 +32,7 @@ from stocktide.llm.text import broadcast_if, named_columns
 from stocktide.session import stage_table
 
 WORDS, LEAST, COVER, TOP, UNIT = 3, 10, 50, 2000, 1_000_000
-SHARD_BYTES, RANGE_BYTES, BROADCAST_ROWS = 1 << 23, 1 << 25, 200_000
+SHARD_BYTES, RANGE_BYTES, BROADCAST_ROWS = 1 << 23, 1 << 24, 200_000
 #: Lower case, and every character that ends a piece as a full stop.
 BREAK, PIECE_ENDS = b".", b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + PIECE_ENDS, b"abcdefghijklmnopqrstuvwxyz" + BREAK * len(PIECE_ENDS))
@@ -73,7 +73,7 @@ class Transducer:
 
     @classmethod
     def union(cls, parts: list[Transducer]) -> Transducer:
-        """All n-grams of ``parts``, weights of equal ones summed."""
+        """All n-grams of ``parts``, weights of equal ones summed; the arcs of ``parts`` stay in their small types, one level is widened at a time."""
         words = sorted(set().union(*(p.words for p in parts)))
         number = {w: k for k, w in enumerate(words)}
         new = [np.fromiter(map(number.__getitem__, p.words), np.int64, len(p.words)) for p in parts]
@@ -81,8 +81,7 @@ class Transducer:
         for k in range(len(parts[0].levels)):
             codes = [s[p.levels[k][0]] * len(words) + n[p.levels[k][1]] for p, s, n in zip(parts, states, new, strict=True)]
             arcs, to = np.unique(np.concatenate(codes), return_inverse=True)
-            weight = np.zeros(len(arcs), np.int64)
-            np.add.at(weight, to, np.concatenate([p.levels[k][2] for p in parts]))
+            weight = np.bincount(to, np.concatenate([p.levels[k][2] for p in parts]), len(arcs)).astype(np.int64)  # exact below 2**53
             states = np.split(to, np.cumsum([len(c) for c in codes])[:-1])
             levels.append((arcs // max(1, len(words)), arcs % max(1, len(words)), weight))
         return cls(words, levels)
@@ -126,7 +125,7 @@ class Transducer:
         import zstandard
 
         words, levels = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
-        return cls(words.split(b" ") if words else [], [tuple(x.astype(np.int64) for x in level) for level in levels])
+        return cls(words.split(b" ") if words else [], levels)
 
     def phrases(self, level: int, at: np.ndarray) -> list[str]:
         """The n-grams of the arcs ``at``."""
@@ -146,7 +145,7 @@ class Transducer:
             live = live[[len(ids[p]) > k for p in live]] if len(live) else live
             if not len(live) or not len(before):
                 break
-            arcs, next_word = before * len(self.words) + label, np.array([ids[p][k] for p in live], np.int64)
+            arcs, next_word = before.astype(np.int64) * len(self.words) + label, np.array([ids[p][k] for p in live], np.int64)
             code = state[live] * len(self.words) + next_word
             at = np.minimum(np.searchsorted(arcs, code), len(arcs) - 1)
             hit = (arcs[at] == code) & (next_word >= 0)
