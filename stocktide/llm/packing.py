@@ -11,7 +11,7 @@ Documents are not shuffled and meet no other task, so a lost executor repeats it
 one batch of texts, the word table and ``OPEN`` windows. A sequence number is the partition's number times 2**33 plus the number in it.
 
 Tokens of a text are those of its words between white-space, one after another: the tokenizer drops white-space, and none of its
-tokens spans any. Words are looked up in tables of bounded size; words of printable Latin-1 letters, digits and signs go straight
+tokens spans any. Words are looked up in tables of bounded size, which a worker keeps from task to task; words of printable Latin-1 letters, digits and signs go straight
 to the tokenizer's merges, all others through the whole tokenizer.
 
 Defined results: null and empty texts are the end token alone; repeated rows are packed once each; an empty table gives no piece;
@@ -24,6 +24,7 @@ import re
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -34,13 +35,13 @@ from pyspark.sql import functions as F
 
 from stocktide.llm.text import named_columns
 
-WINDOW, END, OPEN, TABLE = 4096, 2, 1024, 400_000
+WINDOW, END, OPEN, TABLE = 4096, 2, 1024, 600_000
 BYTES, SHIFT = 4, 33
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordTokens(dict):
-    """Token ids of words, as bytes of little-endian unsigned 32-bit numbers; filled on demand, emptied when full."""
+    """Token ids of words (UTF-8), as bytes of little-endian unsigned 32-bit numbers; filled on demand, emptied when full."""
 
     def __init__(self, path: str):
         from regex import compile as pattern
@@ -65,7 +66,8 @@ class WordTokens(dict):
             self.known[part] = out
         return out
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, raw: bytes) -> bytes:
+        word = raw.decode()
         if self.plain(word):
             low = word.lower()
             if low.isalpha():
@@ -78,14 +80,19 @@ class WordTokens(dict):
             out = array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
         if len(self) >= TABLE:
             self.clear()
-        if len(word) < 64:
-            self[word] = out
+        if len(raw) < 64:
+            self[raw] = out
         return out
 
-    def ids(self, text: str | None) -> bytes:
-        """All token ids of a text and the end token."""
-        return b"".join(map(self.__getitem__, re.split(r"[\x20\x09-\x0D]+", text.strip(" \t\n\x0b\f\r")))) + END.to_bytes(BYTES, "little") \
-            if text and text.strip(" \t\n\x0b\f\r") else END.to_bytes(BYTES, "little")
+    def ids(self, text: bytes | None) -> bytes:
+        """All token ids of a text (UTF-8, which splits at exactly the six spaces) and the end token."""
+        return b"".join(map(self.__getitem__, (text or b"").split())) + END.to_bytes(BYTES, "little")
+
+
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """The worker's tables: loading the tokenizer and learning the words again for each task would cost more than the packing."""
+    return WordTokens(path)
 
 
 class Packer:
@@ -200,7 +207,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id",
         tokenizer = path("word_bpe_49k.json")
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, packer = WordTokens(tokenizer), Packer(TaskContext.get().partitionId() << SHIFT, window, most_open)
+        table, packer = word_tokens(tokenizer), Packer(TaskContext.get().partitionId() << SHIFT, window, most_open)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at:at + 256]
@@ -211,4 +218,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id",
         yield packer.take()
 
     # the id travels as text: a long column with nulls would become floating point
-    return docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.col(text).alias("text")).mapInPandas(packed, PIECES)
+    return docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInPandas(packed, PIECES)
