@@ -34,8 +34,8 @@ PATTERNS = (
 )
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 REACH, SUPPORT, REMOVE, GENERALISE, BROADCAST_ROWS = 4, 2, 0.95, 0.75, 1_000_000
-#: Characters looked at on each side of an entity for its context.
-NEAR = 256
+#: Characters first looked at on each side of an entity for its context; where they do not hold all the words asked for, more are.
+NEAR = (256, 8192)
 
 
 def _digits(value: Column) -> Column:
@@ -93,11 +93,28 @@ def _entity(span: Column) -> Column:
 
 
 def with_windows(text: Column, spans: Column) -> Column:
-    """The spans, each with the rest of its line before and after it (at most NEAR characters)."""
-    before = lambda s: F.substr(text, (F.greatest(s["start"] - NEAR, F.lit(0)) + 1).cast("int"), F.least(s["start"], F.lit(NEAR)).cast("int"))
-    return F.transform(spans, lambda s: F.struct(
-        *(s[k].alias(k) for k in ("kind", "start", "end", "value")), F.substring_index(before(s), "\n", -1).alias("before"),
-        F.substring_index(F.substr(text, (s["end"] + 1).cast("int"), F.lit(NEAR)), "\n", 1).alias("after")))
+    """The spans, each with as much of its line before and after it as holds ``REACH`` whole words, or all of it.
+
+    ``cut_before`` and ``cut_after`` tell whether the far end of that text may cut a word. The windows only save time: where the
+    words are long, the next larger one is taken, and at last the whole line.
+    """
+    def window(s: Column, side: str, n: Column) -> Column:
+        here = F.substr(text, (F.greatest(s["start"] - n, F.lit(0)) + 1).cast("int"), F.least(s["start"], n).cast("int")) if side == "before" \
+            else F.substr(text, (s["end"] + 1).cast("int"), n.cast("int"))
+        line = F.substring_index(here, "\n", -1 if side == "before" else 1)
+        return F.struct(line.alias("text"), ((F.length(here) == n) & (F.length(line) == n)).alias("cut"))
+
+    def chosen(s: Column, side: str) -> Column:
+        out = window(s, side, F.length(text) + 1)
+        for n in sorted(NEAR, reverse=True):
+            part = window(s, side, F.lit(n))
+            # one piece may touch the span and one be cut
+            out = F.when(~part["cut"] | (F.size(words(part["text"])) >= REACH + 2), part).otherwise(out)
+        return out
+
+    wide = F.transform(spans, lambda s: F.struct(s.alias("s"), chosen(s, "before").alias("b"), chosen(s, "after").alias("a")))
+    return F.transform(wide, lambda x: F.struct(*(x["s"][k].alias(k) for k in ("kind", "start", "end", "value")), x["b"]["text"].alias("before"),
+                                                x["a"]["text"].alias("after"), x["b"]["cut"].alias("cut_before"), x["a"]["cut"].alias("cut_after")))
 
 
 def context_words(found: DataFrame) -> DataFrame:
@@ -112,7 +129,7 @@ def context_words(found: DataFrame) -> DataFrame:
         begin = F.col("end") if side == "after" else F.col("start") - F.length(side)
         placed = F.transform("pieces", lambda p, i: F.struct(  # noqa: B023
             F.lower(p).alias("term"), (begin + F.get("ends", i) - F.length(p)).alias("start"), (begin + F.get("ends", i)).alias("end")))  # noqa: B023
-        last, open_end = F.size("pieces") - 1, F.length(side) < NEAR
+        last, open_end = F.size("pieces") - 1, ~F.col(f"cut_{side}")
         whole = (lambda i: (i > 0) & ((i < last) | open_end)) if side == "after" else (lambda i: (i < last) & ((i > 0) | open_end))  # noqa: B023
         rows = rows.withColumn("kept", F.filter(F.filter(placed, lambda x, i: whole(i)), lambda x: x["term"] != ""))  # noqa: B023
         near = F.slice("kept", 1, REACH) if side == "after" else F.slice("kept", F.greatest(F.size("kept") - REACH + 1, F.lit(1)), F.lit(REACH))

@@ -135,7 +135,10 @@ def layers(calls: DataFrame) -> DataFrame:
 
 
 def link_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """Rows (conv_id, layer, turn, call_id, name, status, valid, faults, copies, json): one per call id, call without id or orphan result."""
+    """Rows (conv_id, layer, turn, call_id, name, status, valid, faults, copies, json).
+
+    One per call id, per call without id (``no_id``) and per result that no call asked for (``orphan``; without id: each by itself).
+    """
     named_columns(messages, "conv_id", "turn", "role", "text")
     calls, results = extract(messages)
     one = stage_table(_earliest(calls), "calls")
@@ -148,6 +151,9 @@ def link_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                      F.coalesce("copies", "r_copies").alias("copies"), status.alias("status"))
     bare = calls.filter("call_id is null").select("conv_id", "call_id", "turn", "name", "arguments", F.lit(None).cast("string").alias("content"),
                                                   F.lit(1).cast("long").alias("copies"), F.lit("no_id").alias("status"))
+    none = F.lit(None).cast("string")
+    bare = bare.unionByName(results.filter("call_id is null").select("conv_id", "call_id", "turn", none.alias("name"), none.alias("arguments"), "content",
+                                                                     F.lit(1).cast("long").alias("copies"), F.lit("orphan").alias("status")))
     placed = layers(one).select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), "layer", F.lit(True).alias("placed"))
     met = met.unionByName(bare).join(placed, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("i")), "left")
     cyclic = F.coalesce("placed", F.lit(False)) & F.col("layer").isNull() & (F.col("status") != "orphan")

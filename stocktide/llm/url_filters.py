@@ -27,7 +27,7 @@ from stocktide.session import stage_table
 
 #: Fixed rules of the contract: host, path, verdict.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-DAMPING, MARGIN, UNIT, ROUNDS, BLOCKS, BROADCAST_HOSTS = 0.85, 0.0, 10 ** 12, 5, 8, 1_000_000
+DAMPING, MARGIN, UNIT, LIMIT, ROUNDS, BROADCAST_HOSTS = 0.85, 0.0, 10 ** 12, 1e-6, 5, 1_000_000
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
@@ -58,24 +58,29 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> DataFrame:
-    """Rows (kind, host, rank): trust along the edges and distrust against them, from seeds (kind, host, seed)."""
+    """Rows (kind, host, rank): trust along the edges and distrust against them, from seeds (kind, host, seed).
+
+    Ranks are whole numbers (decimals, so no number of seeds is too large and sums do not depend on order). The rounds go on until,
+    over ``ROUNDS`` of them, no rank moves by more than ``LIMIT`` of itself or of one seed; each block of rounds is written once.
+    """
+    whole = lambda c: F.round(c).cast("decimal(38,0)")
     both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "links").union(
         edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), "links"))
     out = both.groupBy("kind", "host").agg(F.sum("links").alias("all"))
     both = stage_table(both.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("links") / F.col("all")).alias("share")), "edges")
     seeds = stage_table(seeds, "seeds")
-    ranks = seeds.select("kind", "host", F.col("seed").alias("rank"))
-    start = seeds.select("kind", "host", F.round(F.col("seed") * (1 - damping)).cast("long").alias("rank"))
-    for _ in range(BLOCKS):
+    ranks = seeds.select("kind", "host", F.col("seed").cast("decimal(38,0)").alias("rank"))
+    start = seeds.select("kind", "host", whole(F.col("seed").cast("double") * (1 - damping)).alias("rank"))
+    while True:
         before = ranks
         for _ in range(ROUNDS):
-            sent = both.join(ranks, ["kind", "host"]).select("kind", F.col("to").alias("host"), F.round(F.col("rank") * F.col("share") * damping).cast("long").alias("rank"))
+            sent = both.join(ranks, ["kind", "host"]).select("kind", F.col("to").alias("host"), whole(F.col("rank").cast("double") * F.col("share") * damping).alias("rank"))
             ranks = sent.union(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         ranks = stage_table(ranks, "ranks")
         moved = ranks.alias("a").join(before.withColumnRenamed("rank", "was"), ["kind", "host"], "full")
-        if not moved.filter(F.abs(F.coalesce("rank", F.lit(0)) - F.coalesce("was", F.lit(0))) > UNIT // 10 ** 6).limit(1).count():
-            break
-    return ranks
+        step = F.abs(F.coalesce("rank", F.lit(0)) - F.coalesce("was", F.lit(0))).cast("double")
+        if moved.filter(step > LIMIT * F.greatest(F.coalesce("rank", F.lit(0)).cast("double"), F.lit(float(UNIT)))).isEmpty():
+            return ranks
 
 
 def host_verdicts(pages: DataFrame, margin: float = MARGIN) -> DataFrame:
@@ -85,12 +90,10 @@ def host_verdicts(pages: DataFrame, margin: float = MARGIN) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("verdict") == "allow", 1)).alias("good"), F.count(F.when(F.col("verdict") == "block", 1)).alias("bad"))
     kind = F.when(2 * F.col("good") > F.col("n"), "trust").when(2 * F.col("bad") > F.col("n"), "distrust")
     seeds = stage_table(per.select(kind.alias("kind"), "host").filter("kind is not null"), "seeds")
-    many = {r["kind"]: r["count"] for r in seeds.groupBy("kind").count().collect()}
-    each = F.when(F.col("kind") == "trust", UNIT // max(1, many.get("trust", 0))).otherwise(UNIT // max(1, many.get("distrust", 0)))
-    ranks = propagate(edges, seeds.select("kind", "host", each.cast("long").alias("seed")))
+    ranks = propagate(edges, seeds.select("kind", "host", F.lit(UNIT).alias("seed")))
     wide = ranks.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0)).alias(k) for k in ("trust", "distrust")])
     total = wide.agg(F.coalesce(F.sum("trust"), F.lit(0)).alias("trust"), F.coalesce(F.sum("distrust"), F.lit(0)).alias("distrust")).first()
-    part = {k: F.col(k) / max(1, total[k]) for k in ("trust", "distrust")}
+    part = {k: F.col(k).cast("double") / max(1.0, float(total[k])) for k in ("trust", "distrust")}
     return wide.select("host", *[part[k].alias(k) for k in part]).withColumn("blocked", F.col("distrust") - F.col("trust") > margin)
 
 
