@@ -20,6 +20,11 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("instances")).where(F.col("instances") > 1)
 
 
+def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
+    """The frame with a broadcast hint if it has at most ``rows`` rows, counted first; otherwise as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def assert_unique(df: DataFrame, keys: list[str], on_duplicate: str = "error") -> DataFrame:
     """Check a key. ``error`` looks for one duplicate now; ``keep`` lets rows fan out."""
     if on_duplicate == "error":
@@ -86,11 +91,22 @@ def not_in(df: DataFrame, key: str, values: DataFrame, value: str) -> DataFrame:
     return kept.where((F.col("_n") == 0) | ((F.col("_n") == F.col("_known")) & F.col(key).isNotNull())).drop("_n", "_known")
 
 
-def within_window(df: DataFrame, windows: DataFrame, key: str, day: str, start: str, end: str) -> DataFrame:
-    """Left join to validity windows: equal key and start <= day <= end (both ends count)."""
-    right = windows.withColumnRenamed(key, "_wk")
-    cond = (F.col(key) == F.col("_wk")) & (F.col(day) >= F.col(start)) & (F.col(day) <= F.col(end))
-    return df.join(right, cond, "left").drop("_wk")
+def within_window(df: DataFrame, windows: DataFrame, key: str, day: str, start: str, end: str, bucket_days: int = 32) -> DataFrame:
+    """Left join to validity windows: equal key and start <= day <= end (both ends count), one row per pair.
+
+    Time is cut into buckets of ``bucket_days`` days. A window stands once in each bucket that it touches, a day in one, so a pair
+    meets once, in the group of its (key, bucket): an item with many rows or windows is spread over its buckets, and a day meets
+    only the windows of its bucket. Windows are first cut to the span of the days in ``df`` (two scalars), so an open end costs
+    no buckets beyond the data; a null or reversed window meets nothing.
+    """
+    span = df.agg(F.min(F.col(day).cast("date")).alias("first"), F.max(F.col(day).cast("date")).alias("last"))
+    low, high = (F.col(c).cast("date") for c in (start, end))
+    held = with_total(windows, span).where((F.col(start) <= F.col(end)) & (low <= F.col("last")) & (high >= F.col("first")))
+    number = lambda d: F.floor(F.unix_date(d) / bucket_days)
+    right = held.withColumn("_wb", F.explode(F.sequence(number(F.greatest(low, F.col("first"))), number(F.least(high, F.col("last"))))))
+    right = right.drop("first", "last").withColumnRenamed(key, "_wk")
+    cond = (F.col(key) == F.col("_wk")) & (F.col("_db") == F.col("_wb")) & (F.col(day) >= F.col(start)) & (F.col(day) <= F.col(end))
+    return df.withColumn("_db", number(F.col(day).cast("date"))).join(right, cond, "left").drop("_wk", "_wb", "_db")
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: list[str], salts: int = 16,

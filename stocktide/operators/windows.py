@@ -115,3 +115,35 @@ def nth_value_desc(df: DataFrame, by: list[str], order, n: int = 1) -> DataFrame
     """Rows at rank <= n per key (the rank limit also runs before the shuffle)."""
     spec = Window.partitionBy(*by).orderBy(*[sort_key(k) for k in order])
     return df.withColumn("_rn", F.row_number().over(spec)).where(F.col("_rn") <= n).drop("_rn")
+
+
+def asof_lookup(df: DataFrame, lookup: DataFrame, by: list[str], at: str, values: list[str], lookup_at: str | None = None, strict: bool = False,
+                block_days: int = 32) -> DataFrame:
+    """Each row with ``values`` of the latest ``lookup`` row of its key at or (``strict``) before its time; null where there is none.
+
+    Both sides are appended and sorted once, the last known value is carried along. Time is cut into blocks: the last lookup row of
+    a block is one small row, carried over blocks by a window on that small table, so a key with many rows is spread over its blocks.
+    Of lookup rows with equal key and time the greatest values count. A row without time or with a null key finds nothing.
+    """
+    when, spot = lookup_at or at, F.col("_asof_at")
+    keys = [f"_asof_k{n}" for n in range(len(by))]
+    named = [F.col(k).alias(n) for k, n in zip(by, keys, strict=True)]
+    known = lookup.where(F.col(when).isNotNull())
+    found = known.select(F.lit(None).cast(df.select(F.struct("*").alias("r")).schema["r"].dataType).alias("_asof_row"), *named, F.col(when).alias("_asof_at"),
+                         F.lit(2 if strict else 0).alias("_asof_side"), F.struct(*values).alias("_asof_v"))
+    asked = df.select(F.struct("*").alias("_asof_row"), *named, F.col(at).alias("_asof_at"), F.lit(1).alias("_asof_side"),
+                      F.lit(None).cast(found.schema["_asof_v"].dataType).alias("_asof_v"))
+    both = asked.unionByName(found).withColumn("_asof_block", F.floor(F.unix_date(spot.cast("date")) / block_days))
+    ends = both.where(spot.isNotNull()).groupBy(*keys, "_asof_block").agg(F.max(F.when(F.col("_asof_side") != 1, F.struct("_asof_at", "_asof_v"))).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_asof_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*[F.col(k).alias(f"_c{k}") for k in keys], F.col("_asof_block").alias("_cb"), F.last("_end", ignorenulls=True).over(before)["_asof_v"].alias("_carry"))
+    same = F.col("_asof_block") == F.col("_cb")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_c{k}"))
+    inside = Window.partitionBy(*keys, "_asof_block").orderBy("_asof_at", "_asof_side", "_asof_v").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.coalesce(F.last("_asof_v", ignorenulls=True).over(inside), F.col("_carry"))
+    fits = spot.isNotNull()
+    for k in keys:
+        fits = fits & F.col(k).isNotNull()
+    out = both.join(carry, same, "left").withColumn("_asof_last", F.when(fits, last)).where(F.col("_asof_side") == 1)
+    return out.select("_asof_row.*", *[F.col("_asof_last")[v].alias(v) for v in values])

@@ -9,6 +9,7 @@ from stocktide import constants as K
 from stocktide.functions import DAY_DOTTED, or_zero, parse_day, ratio, ratio_of_sums, total
 from stocktide.operators.ordering import top_k
 from stocktide.operators.windows import report_calendar
+from stocktide.session import staged
 
 KEYS = ["cp_status", "region", "town", "pack_size"]
 
@@ -23,34 +24,44 @@ def cp_materials(cp_master: DataFrame, group: str = K.CP_MATERIAL_GROUP) -> Data
     return cp_master.where(F.col("material_group") == group).select("material").distinct()
 
 
-def with_cp_status(df: DataFrame, listed: DataFrame, running=K.RUNNING_CP, use_running: bool = True) -> DataFrame:
-    """'running CP' needs the running list and the master; 'old CP' only the master."""
-    hit = F.col("_cp").isNotNull()
-    label = F.when(hit, F.lit(K.OLD_CP_LABEL)).otherwise(F.lit(K.NON_CP_LABEL))
-    if use_running and running:
-        label = F.when(hit & F.col("material").isin(*running), F.lit(K.RUNNING_CP_LABEL)).otherwise(label)
+def _flagged(df: DataFrame, listed: DataFrame) -> DataFrame:
+    """Add whether the master lists a row's material."""
     mine = listed.select(F.col("material").alias("_cp"))
-    return df.join(mine, F.col("material") == F.col("_cp"), "left").withColumn("cp_status", label).drop("_cp")
+    return df.join(mine, F.col("material") == F.col("_cp"), "left").withColumn("_cp", F.col("_cp").isNotNull())
+
+
+def _status(running, use_running: bool = True) -> Column:
+    label = F.when(F.col("_cp"), F.lit(K.OLD_CP_LABEL)).otherwise(F.lit(K.NON_CP_LABEL))
+    if use_running and running:
+        label = F.when(F.col("_cp") & F.col("material").isin(*running), F.lit(K.RUNNING_CP_LABEL)).otherwise(label)
+    return label
 
 
-def label_losses(sccf: DataFrame, closing: DataFrame, cp_master: DataFrame, running=K.RUNNING_CP,
-                 order_side_running: bool = False) -> DataFrame:
+def with_cp_status(df: DataFrame, listed: DataFrame, running, use_running: bool = True) -> DataFrame:
+    """'running CP' needs the running list and the master; 'old CP' only the master."""
+    return _flagged(df, listed).withColumn("cp_status", _status(running, use_running)).drop("_cp")
+
+
+def label_losses(sccf: DataFrame, closing: DataFrame, cp_master: DataFrame, running, order_side_running: bool = False,
+                 stage=staged) -> DataFrame:
     """All report days in one job.
 
     A delivery of day t meets the orders of the observed day before and the closing stock of
     the one before that. The two small sides are moved forward to day t first, so the facts
     shuffle once on (status, region, town, pack, day). The calendar is one row per distinct
     day, which bounds its broadcast. ``order_side_running=False`` keeps the order side without
-    the running label, as the original analysis does.
+    the running label, as the original analysis does. ``running`` lists the materials that run.
+
+    The facts are read, parsed and looked up once; calendar, order side and deliveries read what ``stage`` has written.
     """
-    facts = dated(sccf)
     listed = cp_materials(cp_master)
+    facts = stage(_flagged(dated(sccf), listed).select(
+        "report_date", "day", "region", "town", "pack_size", "material", "material_desc", "final_order_qty", "invoiced_qty", "sccf_loss_qty", "case_fill_pct", "_cp"))
     calendar = report_calendar(facts, "day")
     ahead = F.broadcast(calendar.select(F.col("day").alias("_d"), "next_1", "next_2"))
     started = F.broadcast(calendar.where(F.col("prev_2").isNotNull()).select(F.col("day").alias("_d")))
 
-    orders = with_cp_status(facts.select("day", "region", "town", "pack_size", "material", "invoiced_qty"), listed, running,
-                            order_side_running)
+    orders = facts.withColumn("cp_status", _status(running, order_side_running))
     given = (orders.groupBy("day", *KEYS).agg(total("invoiced_qty").alias("_given"))
              .join(ahead, F.col("day") == F.col("_d")).where(F.col("next_1").isNotNull())
              .select(*KEYS, F.col("next_1").alias("day"), "_given", F.lit(None).cast("double").alias("_stock")))
@@ -63,7 +74,7 @@ def label_losses(sccf: DataFrame, closing: DataFrame, cp_master: DataFrame, runn
         total("_stock").alias("clstock_vol_cs"), total("_given").alias("given_order_qty"))
 
     short = facts.where(F.col("case_fill_pct") < 100).join(started, F.col("day") == F.col("_d"), "left_semi")
-    joined = with_cp_status(short, listed, running).join(sides, ["day", *KEYS], "left")
+    joined = short.withColumn("cp_status", _status(running)).join(sides, ["day", *KEYS], "left")
     numbers = ["material", "final_order_qty", "invoiced_qty", "sccf_loss_qty", "clstock_vol_cs", "given_order_qty"]
     filled = joined.withColumns({c: or_zero(c) for c in numbers})
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from stocktide.functions.text import flat_name
 from stocktide.schemas import schema as role_schema
+from stocktide.sources.landing import land_lines
 
 CORRUPT = "_corrupt_record"
 
@@ -53,42 +54,25 @@ def tag_sources(frames: dict[str, DataFrame], column: str = "source") -> DataFra
     return out
 
 
-def unreadable_files(df: DataFrame) -> list[str]:
-    """Full paths of the files under ``df`` that cannot be read to their end.
+def read_tolerant(spark: SparkSession, paths, schema, fmt: str = "csv", glob: str | None = None, header: bool = False,
+                  **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Text files, CSV or JSON lines, in permissive mode: (good rows, rejected rows with their file, failed files).
 
-    One counting pass finds the first such file and is repeated without it, so the work is one pass more than there are
-    broken files; the list holds only those.
-    """
-    broken: list[str] = []
-    while True:
-        try:
-            df.where(~F.col("_metadata.file_path").isin(broken)).count()
-            return broken
-        except Exception as fault:
-            named = re.search(r"while reading file (\S+)\.\s", str(fault))
-            if named is None or named[1] in broken:
-                raise
-            broken.append(named[1])
-
-
-def read_tolerant(spark: SparkSession, paths, schema, fmt: str = "csv", **options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Text files in permissive mode: (good rows, rejected rows with their file, failed files).
-
-    A row that does not fit the schema goes to the second frame with its raw text. A file that cannot be read to its end,
-    be it broken from the start or midway, is named in the third frame and gives no rows.
+    A row that does not fit the schema goes to the second frame with its raw text. A file that cannot be read to its end, be it
+    broken from the start or midway, is named with its fault in the third frame and gives no rows. All files are read in one
+    pass, however many are broken (see ``landing``); ``options`` are those of the parser.
     """
     spec = _schema(schema)
     full = T.StructType([*spec.fields, T.StructField(CORRUPT, T.StringType())])
-    every = spark.read.format(fmt).schema(full).options(
-        mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, ignoreCorruptFiles="false", **options).load(paths)
-    broken = unreadable_files(every)
-    df = with_file(every.where(~F.col("_metadata.file_path").isin(broken)))
-    failed = literal_table(spark, broken, "source_file string")
-    # the text parser refuses to run for the raw text alone, so both tests read the parsed fields too
-    parsed = F.length(F.concat_ws("", *[F.col(f.name).cast("string") for f in spec.fields])) >= 0
-    good = df.where(F.col(CORRUPT).isNull() & parsed).drop(CORRUPT)
-    rejected = df.where(F.col(CORRUPT).isNotNull() & parsed).select("source_file", F.col(CORRUPT).alias("raw"))
-    return good, rejected, failed
+    landed = land_lines(spark, paths, glob)
+    body = landed.lines.where(F.trim("line") != "")
+    body = body.where(F.col("ingest_pos") > 0) if header else body
+    parse = {"csv": F.from_csv, "json": F.from_json}[fmt]
+    how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, **options}
+    rows = body.withColumn("_row", parse(F.col("line"), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full.fields) if fmt == "csv" else full, how))
+    good = rows.where(F.col(f"_row.{CORRUPT}").isNull()).select(*[F.col(f"_row.`{f.name}`") for f in spec.fields], "source_file")
+    rejected = rows.where(F.col(f"_row.{CORRUPT}").isNotNull()).select("source_file", F.col("line").alias("raw"))
+    return good, rejected, landed.ledger.where(F.col("fault").isNotNull()).select("source_file", "fault")
 
 
 def ensure_columns(df: DataFrame, wanted: dict[str, str], drop_pattern: str | None = "^Unnamed") -> DataFrame:

@@ -1,3 +1,3 @@
 """Incremental ingest."""
 
-from stocktide.streaming.ingest import ingest_daily  # noqa: F401
+from stocktide.streaming.ingest import ingest_daily, pack_ingested, read_ingested, read_packed  # noqa: F401

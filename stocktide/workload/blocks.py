@@ -11,11 +11,12 @@ from stocktide import functions as E
 from stocktide.operators import joining as J
 from stocktide.operators import ordering as O
 from stocktide.operators import reshaping as S
+from stocktide.operators import sketches
 from stocktide.operators import windows as W
 from stocktide.plans.returns import label_lists
 from stocktide.session import checkpoint_root
-from stocktide.sources import readers, writers
-from stocktide.streaming.ingest import ingest_daily, read_ingested
+from stocktide.sources import landing, manifest, readers, writers
+from stocktide.streaming.ingest import ingest_daily, pack_ingested, read_ingested, read_packed
 from stocktide.workload.registry import Inputs, Registry
 
 R = Registry()
@@ -82,6 +83,69 @@ def _tolerant(i: Inputs):
 
 add("s04_tolerant_scan", _tolerant, """select o_orderstatus, count(*) as n, cast(sum(o_custkey) as bigint) as codes from {orders} where o_orderstatus <> 'P' group by 1
     union all select 'rejected', count(*), null from {orders} where o_orderstatus = 'P'""")
+
+
+def _files(df, order: str, out: str, heading: dict | None = None, titles: int = 0) -> None:
+    """Write (folder, ``order``, line) as one text file per folder with its lines in order, below ``titles`` title lines and a heading."""
+    body = df.select("folder", F.lit(1).alias("part"), C(order).alias("at"), "line")
+    if heading:
+        folders = df.select("folder").distinct()
+        top = folders.select("folder", F.lit(0).alias("part"), F.lit(titles).alias("at"), F.element_at(F.create_map(*[
+            F.lit(x) for pair in heading.items() for x in pair]), C("folder").cast("int") % len(heading)).alias("line"))
+        above = folders.select("folder", F.lit(0).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(titles - 1))).alias("at"), F.lit("title").alias("line")) if titles else None
+        body = body.unionByName(top) if above is None else body.unionByName(top).unionByName(above)
+    placed = body.repartition("folder").sortWithinPartitions("folder", "part", "at")
+    placed.select("folder", "line").write.partitionBy("folder").text(out)
+
+
+def _line_positions(i: Inputs):
+    """Events in one file per type, in order of their id; positions are those of the landed lines."""
+    out = spot(i, "lines")
+    _files(i.events.select(C("event_type").alias("folder"), "event_id", C("event_id").cast("string").alias("line")), "event_id", out)
+    landed = landing.land_lines(i.spark, out, recursiveFileLookup="true")
+    return readers.skip_leading(landed.lines, 2).select(folder(), "ingest_pos", C("line").cast("long").alias("event_id"))
+
+
+_HEADINGS = {0: "key,name,nation,balance", 1: "name,key,Unnamed: 2,nation", 2: "balance,  supplier key ,nation,name"}
+
+
+def _headed(i: Inputs):
+    """Suppliers in one file per nation, in three layouts below two title lines."""
+    out = spot(i, "headed")
+    k, n, b = C("s_suppkey").cast("string"), C("s_name"), F.when(C("s_suppkey") % 10 == 3, F.lit("n/a")).otherwise(C("s_acctbal").cast("string"))
+    nation = C("s_nationkey").cast("string")
+    line = (F.when(C("s_nationkey") % 3 == 0, F.concat_ws(",", k, n, nation, b)).when(C("s_nationkey") % 3 == 1, F.concat_ws(",", n, k, F.lit("x"), nation))
+            .otherwise(F.concat_ws(",", b, k, nation, n)))
+    _files(i.supplier.select(nation.alias("folder"), "s_suppkey", line.alias("line")), "s_suppkey", out, _HEADINGS, 2)
+    return landing.read_sheets(i.spark, out, "key long, name string, nation int, balance double, route string", 2, renames={"supplier key": "key"}, recursiveFileLookup="true")
+
+
+add("s08_line_positions", _line_positions, """select event_type as folder, p as ingest_pos, event_id from
+    (select event_type, event_id, row_number() over (partition by event_type order by event_id) - 1 as p from {events}) e where p >= 2""")
+add("s00_headed_sheets", lambda i: _headed(i).rows.select("key", "name", "nation", "balance", "route", "ingest_pos"),
+    """select s_suppkey as key, s_name as name, s_nationkey as nation, case when s_nationkey % 3 <> 1 then s_acctbal end as balance, cast(null as varchar) as route,
+    2 + row_number() over (partition by s_nationkey order by s_suppkey) as ingest_pos from {supplier} qualify s_nationkey % 3 = 1 or s_suppkey % 10 <> 3""")
+add("s04_rejected_rows", lambda i: _headed(i).rejected.select(C("ingest_pos").alias("line_no"), "line", "reason"),
+    """select line_no, case when s_nationkey % 3 = 0 then s_suppkey || ',' || s_name || ',' || s_nationkey || ',n/a' else 'n/a,' || s_suppkey || ',' || s_nationkey || ',' || s_name end
+    as line, 'balance is no double' as reason from (select *, 2 + row_number() over (partition by s_nationkey order by s_suppkey) as line_no from {supplier}) s
+    where s_nationkey % 3 <> 1 and s_suppkey % 10 = 3""")
+add("s11_file_ledger", lambda i: _headed(i).account().select(folder(), C("fault").isNotNull().alias("failed"), "rows_read", "rows_appended", "rows_rejected"),
+    """select cast(s_nationkey as varchar) as folder, false as failed, count(*) as rows_read, count(*) - count(case when s_nationkey % 3 <> 1 and s_suppkey % 10 = 3 then 1 end) as rows_appended,
+    count(case when s_nationkey % 3 <> 1 and s_suppkey % 10 = 3 then 1 end) as rows_rejected from {supplier} group by s_nationkey""")
+
+
+def _landed_sheet(i: Inputs):
+    """Codes that stand only on the first line of their block, in one file per event type; fill-down runs on the landed positions."""
+    out = spot(i, "blocks")
+    code = F.when(C("user_id") % 7 == 0, C("user_id").cast("string")).otherwise("")
+    _files(i.events.select(C("event_type").alias("folder"), "event_id", F.concat_ws(",", code, C("event_id").cast("string")).alias("line")), "event_id", out)
+    lines = landing.land_lines(i.spark, out, recursiveFileLookup="true").lines
+    sheet = lines.select("source_file", "ingest_pos", F.expr("try_cast(split(line, ',')[0] as bigint)").alias("code"), F.split("line", ",")[1].cast("long").alias("event_id"))
+    return W.fill_down(sheet, "code", "ingest_pos", source="source_file", block_rows=4096).select(folder(), "event_id", "code")
+
+
+add("w03_fill_down_landed", _landed_sheet, """select * from (select event_type as folder, event_id, last_value(case when user_id % 7 = 0 then user_id end ignore nulls)
+    over (partition by event_type order by event_id rows between unbounded preceding and current row) as code from {events}) f where code is not null""")
 add("s05_ensure_columns", lambda i: readers.ensure_columns(i.customer.withColumn("Unnamed: 7", F.lit(1)), {"c_name": "string", "route": "string"}),
     "select *, cast(null as varchar) as route from {customer}")
 add("s06_tidy_headings", lambda i: readers.tidy_headings(readers.rename_by_position(i.supplier, ["key", "supplier\nname", "nation\nkey", "balance"]),
@@ -124,6 +188,34 @@ add("s09_write_report", _write_report, """select o_orderstatus as k, count(*) as
 add("s10_write_table", _write_table, "select * from {orders}")
 add("s11_row_counts", _file_rows, "select l_returnflag as folder, count(*) as rows from {lineitem} group by 1")
 add("x01_ingest_daily", _ingest, "select *, o_orderstatus as folder from {orders}")
+
+
+def _packed(i: Inputs):
+    """Orders ingested as one folder per file, half of them packed to larger files, read as one table."""
+    out = spot(i, "packed")
+    files = i.orders.withColumn("folder", F.date_format("o_orderdate", "yyyy-MM"))
+    for drop in (files.where("folder < '1998'"), files.where("folder >= '1998'")):
+        writers.write_table(drop.repartition("folder"), f"{out}/drops", mode="append", partition_by=["folder"])
+        ingest_daily(i.spark, f"{out}/drops", i.orders.schema, f"{out}/table", f"{out}/checkpoint", "parquet", recursiveFileLookup="true")
+        if not manifest.committed(i.spark, f"{out}/packed").count():
+            pack_ingested(i.spark, f"{out}/table", f"{out}/packed")
+    return read_packed(i.spark, f"{out}/table", f"{out}/packed").select(*i.orders.columns, folder())
+
+
+def _versions(i: Inputs):
+    """Two versions of a report with two sheets of one shape and one of another; the second replaces the first."""
+    out, n = spot(i, "versions"), F.count(F.lit(1)).alias("n")
+    counts = {"By Status": i.orders.groupBy(C("o_orderstatus").alias("k")).agg(n), "By Priority": i.orders.groupBy(C("o_orderpriority").alias("k")).agg(n)}
+    manifest.write_sheets({"By Status": counts["By Status"].where("k = 'F'")}, out)
+    manifest.write_sheets({**counts, "Part": i.part.select("p_brand").distinct()}, out, {"By Status": ["-n"]})
+    got = manifest.read_sheets_of(i.spark, out)
+    tagged = [got[name].select(F.lit(name).alias("sheet"), "k", "n") for name in counts]
+    return tagged[0].unionByName(tagged[1]).unionByName(got["Part"].select(F.lit("Part").alias("sheet"), C("p_brand").alias("k"), F.lit(1).cast("long").alias("n")))
+
+
+add("x01_packed_files", _packed, "select *, strftime(o_orderdate, '%Y-%m') as folder from {orders}")
+add("s09_versioned_report", _versions, """select 'By Status' as sheet, o_orderstatus as k, count(*) as n from {orders} group by 2
+    union all select 'By Priority', o_orderpriority, count(*) from {orders} group by 2 union all select distinct 'Part', p_brand, 1 from {part}""")
 add("x02_duplicate_keys", lambda i: J.duplicate_keys(i.lineitem, ["l_orderkey", "l_linenumber"]),
     "select l_orderkey, l_linenumber, count(*) as instances from {lineitem} group by 1, 2 having count(*) > 1")
 
@@ -192,6 +284,21 @@ def _spans(i: Inputs):
 
 
 _SPANS = "(select p_brand as brand, min(ship_day) as start, min(ship_day) + 200 as stop from {sales} where qty >= 50 group by 1)"
+
+
+def _overlaps(i: Inputs):
+    """Three windows a brand that overlap, one of them open to the far future."""
+    first = i.sales.groupBy(C("p_brand").alias("brand")).agg(F.min("ship_day").alias("d"))
+    parts = [first.select("brand", F.date_add("d", a).alias("start"), (F.date_add("d", b) if b else F.lit("9999-12-31").cast("date")).alias("end"), F.lit(t).alias("tag"))
+             for a, b, t in ((0, 400, "x"), (300, 500, "y"), (350, 0, "z"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_OVER3 = "(select brand, d + a as start, case when b = 0 then date '9999-12-31' else d + b end as stop, t as tag from (select p_brand as brand, min(ship_day) as d from {sales} group by 1) f, (values (0, 400, 'x'), (300, 500, 'y'), (350, 0, 'z')) v(a, b, t))"
+add("j10_overlapping_windows", lambda i: J.within_window(i.brand_day.withColumnRenamed("basepack", "brand"), _overlaps(i), "brand", "ship_day", "start", "end")
+    .groupBy("brand", "tag").agg(F.sum("orders").alias("qty"), F.count(F.lit(1)).alias("days")),
+    f"""select b.basepack as brand, tag, sum(orders) as qty, count(*) as days from {{brand_day}} b left join {_OVER3} s on b.basepack = s.brand and ship_day >= start and ship_day <= stop
+    group by 1, 2""")
 add("j10_interval_join", lambda i: J.within_window(i.brand_day.withColumnRenamed("basepack", "brand"), _spans(i), "brand", "ship_day", "start", "end")
     .groupBy("brand", C("start").isNotNull().alias("inside")).agg(F.sum("orders").alias("qty")),
     f"""select b.basepack as brand, start is not null as inside, sum(orders) as qty from {{brand_day}} b
@@ -236,6 +343,18 @@ add("a02_avg_max_min_count", lambda i: i.lineitem.groupBy("l_suppkey").agg(
 add("a03_ratio_of_sums", lambda i: i.sccf_outlet.groupBy("outlet").agg(E.ratio_of_sums("inv_qty", "ord_qty").alias("fill")),
     "select outlet, sum(inv_qty) / nullif(sum(ord_qty), 0) as fill from {sccf_outlet} group by 1")
 add("a04_count_distinct", lambda i: i.lines.groupBy("rf").agg(F.countDistinct("o_custkey").alias("n")), "select rf, count(distinct o_custkey) as n from {lines} group by 1")
+
+
+def _sketched(i: Inputs):
+    """Distinct customers per return flag over two years, exactly and from daily sketches; only whether they agree within the bound is returned."""
+    days = sketches.daily_sketches(i.lines, ["rf"], "ship_day", "o_custkey")
+    near = sketches.distinct_over(days, ["rf"], "1996-01-01", "1998-01-01", "near")
+    exact = sketches.exact_over(i.lines, ["rf"], "ship_day", "o_custkey", "1996-01-01", "1998-01-01")
+    return exact.join(near, "rf", "left").select("rf", "n", (F.abs(C("near") / C("n") - 1) <= sketches.relative_error()).alias("within_bound"))
+
+
+add("a04_distinct_over_days", _sketched, """select rf, count(distinct o_custkey) as n, true as within_bound from {lines}
+    where ship_day >= date '1996-01-01' and ship_day < date '1998-01-01' group by 1""")
 add("a05_conditional", lambda i: i.lines.groupBy("l_suppkey").agg(E.total_when(C("ls") == "O", "qty").alias("open"), E.count_when(C("rf") == "R").alias("returned")),
     "select l_suppkey, sum(case when ls = 'O' then qty end) as open, count(case when rf = 'R' then 1 end) as returned from {lines} group by 1")
 add("a06_string_list", lambda i: i.towns.select("r_name", "n_name").distinct().groupBy("r_name").agg(S.joined_list("n_name").alias("names"))
@@ -289,6 +408,11 @@ add("w04_next_block", lambda i: W.block_bounds(_sheet(i), "code", "pos"),
 add("w05_previous_period", lambda i: W.report_calendar(i.lines, "ship_day"),
     """select day, lag(day, 1) over (order by day) as prev_1, lag(day, 2) over (order by day) as prev_2, lead(day, 1) over (order by day) as next_1,
     lead(day, 2) over (order by day) as next_2 from (select distinct ship_day as day from {lines}) d""")
+_ASKED = "(select report_date, basepack, sum(prim_ord_qty) as qty from {primary_daily} group by 1, 2)"
+add("w05_asof_lookup", lambda i: W.asof_lookup(i.primary_daily.groupBy("report_date", "basepack").agg(F.sum("prim_ord_qty").alias("qty")),
+                                               i.brand_day.where(C("stock") > 100), ["basepack"], "report_date", ["ship_day", "stock"], "ship_day", strict=True),
+    f"""select p.report_date, p.basepack, qty, ship_day, stock from {_ASKED} p asof left join (select basepack, ship_day, stock from {{brand_day}} where stock > 100) s
+    on p.basepack = s.basepack and p.report_date > s.ship_day""")
 add("w06_delta", lambda i: W.period_delta(i.outlet_month.groupBy("basepack", "yr").agg(F.sum("qty").alias("qty")), ["basepack"], "yr", "qty"),
     """select basepack, yr, qty, qty - lag(qty) over (partition by basepack order by yr) as delta from
     (select basepack, yr, sum(qty) as qty from {outlet_month} group by 1, 2) s""")

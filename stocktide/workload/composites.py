@@ -67,16 +67,14 @@ def _c02(i: Inputs):
     return returns.enrich_returns(i.visits, i.outlet_geo, i.product_pack, i.ps_list, i.ns_list, fefo)
 
 
-_FEFO = "select * from (values " + ", ".join(f"('{s}')" for s in FEFO) + ") v(sku)"
-_C02 = f"""select region, area, territory, town, outlet_code, cast(null as varchar) as outlet_name, channel, cast(null as varchar) as route,
-    route_code, cast(null as varchar) as sso, sku_code, sku_desc, basepack, ps_sku, ns_sku, fefo_sku, cast(null as varchar) as pack_size,
-    reason, cast(null as double) as qty_ctn, qty_pc, cast(null as double) as price_ctn, value, cast(null as double) as secondary_sales,
-    cast(null as double) as damage_pct, cast(null as varchar) as company_code
-    from {{visits}} t1 left join {{outlet_geo}} t2 using (outlet_code)
-    left join (select cast(material as varchar) as sku_code, basepack from {{product_pack}}) t3 using (sku_code)
-    left join (select sku as basepack, 1 as ps_sku from {{ps_list}}) t4 using (basepack)
-    left join (select sku as basepack, 1 as ns_sku from {{ns_list}}) t5 using (basepack)
-    left join (select sku as basepack, 1 as fefo_sku from ({_FEFO}) f) t6 using (basepack)"""
+_ABSENT = {"outlet_name": "varchar", "route": "varchar", "sso": "varchar", "pack_size": "varchar", "qty_ctn": "double", "price_ctn": "double",
+           "secondary_sales": "double", "damage_pct": "double", "company_code": "varchar"}
+_C02 = f"""with packs as (select cast(material as varchar) as code, basepack from {{product_pack}}),
+    v as (select v.*, g.* exclude (outlet_code), p.basepack from {{visits}} v left join {{outlet_geo}} g on g.outlet_code = v.outlet_code
+      left join packs p on p.code = v.sku_code)
+    select region, area, territory, town, outlet_code, channel, route_code, sku_code, sku_desc, basepack, reason, qty_pc, value,
+      case when exists (from {{ps_list}} l where l.sku = v.basepack) then 1 end as ps_sku, case when exists (from {{ns_list}} l where l.sku = v.basepack) then 1 end as ns_sku,
+      case when basepack in ({", ".join(f"'{f}'" for f in FEFO)}) then 1 end as fefo_sku, {", ".join(f"cast(null as {t}) as {c}" for c, t in _ABSENT.items())} from v"""
 add("c02_enrich_returns", _c02, _C02)
 add("c02_flag_counts", lambda i: returns.flag_counts(_c02(i)),
     f"select ps_sku, ns_sku, fefo_sku, count(*) as instances from ({_C02}) e group by 1, 2, 3")
@@ -105,31 +103,35 @@ def _c04(i: Inputs):
     return activation.activation_exceptions(i.activation_1, i.activation_2, i.family_product, i.active, i.allocation, i.price)
 
 
-_CODES = "select distinct basepack_code as pack_code, basepack as d from {family_product}"
-_ACTIVE = "select distinct basepack_code as b, material_code as m from {active}"
-_P1 = f"""select basepack, activity_code, description, subs, pack_code from {{activation_1}} t1 left join ({_CODES}) c on t1.basepack = c.d
-    left join ({_ACTIVE}) a on pack_code = b and activity_code = m where subs = 1 and b is null"""
-_P2 = f"""select basepack, activity_code_remove, description, post_code, post_subs, pack_code from {{activation_2}} t1
-    left join ({_CODES}) c on t1.basepack = c.d left join ({_ACTIVE}) a on pack_code = b and post_code = m where post_subs = 1 and b is null"""
-_ALLOC = f"""select distinct basepack_code, basepack_desc, material_code, material_desc from {{allocation}} where basepack_code not in
-    (select pack_code from ({_P1}) x union select pack_code from ({_P2}) y) and allocated_qty > 0"""
-_PRICE = "select distinct basepack_code, material_code, material_desc, retail_price from {price}"
-_DEAR = f"""select material_code, basepack_code, basepack_desc, material_desc, alloc_price, active_material_code, active_material_desc, active_price
-    from ({_ALLOC}) t1 join (select material_code, retail_price as alloc_price from ({_PRICE}) p) t2 using (material_code)
-    left join (select b as basepack_code, m as active_material_code from ({_ACTIVE}) a) t3 using (basepack_code)
-    left join (select material_code as active_material_code, material_desc as active_material_desc, retail_price as active_price
-    from ({_PRICE}) q) t4 using (active_material_code) where alloc_price > active_price"""
+_P_WITH = """codes as (select distinct basepack as d, basepack_code as pack_code from {family_product}), prices as (select distinct basepack_code, material_code, material_desc,
+      retail_price from {price}), running as (select distinct basepack_code, material_code from {active}),
+    p1 as (select a.basepack, activity_code, description, subs, pack_code from {activation_1} a left join codes on d = a.basepack
+      where subs = 1 and not exists (from running r where r.basepack_code = pack_code and r.material_code = activity_code)),
+    p2 as (select a.basepack, activity_code_remove, description, post_code, post_subs, pack_code from {activation_2} a left join codes on d = a.basepack
+      where post_subs = 1 and not exists (from running r where r.basepack_code = pack_code and r.material_code = post_code)),
+    given as (select distinct basepack_code, basepack_desc, material_code, material_desc from {allocation}
+      where allocated_qty > 0 and basepack_code <> all (select pack_code from p1 union all select pack_code from p2)),
+    dearer as (select g.material_code, g.basepack_code, g.basepack_desc, g.material_desc, mine.retail_price as alloc_price, o.material_code as active_material_code,
+        o.material_desc as active_material_desc, o.retail_price as active_price
+      from given g, prices mine, running r, prices o where mine.material_code = g.material_code and r.basepack_code = g.basepack_code
+        and o.material_code = r.material_code and o.retail_price < mine.retail_price)"""
+
+
+def _c04_sql(body: str) -> str:
+    return f"with {_P_WITH} {body}"
+
+
+_AS_TEXT = "cast({0} as varchar) as basepack_code, {1} as basepack_desc, cast({2} as varchar) as material_code, {3} as material_desc"
 for _name, _sql in {
-    "plan_1": _P1, "plan_2": _P2, "allocation": _ALLOC,
-    "price": f"select *, rank() over (partition by basepack_code order by retail_price desc) as seq from ({_PRICE}) p",
-    "dearer_allocation": _DEAR,
-    "cases": f"""select cast(basepack_code as varchar) as basepack_code, basepack_desc, cast(material_code as varchar) as material_code,
-        material_desc, cast(active_material_code as varchar) as active_material_code, active_material_desc,
-        'allocation price > active price' as remarks from ({_DEAR}) d
-        union all select cast(pack_code as varchar), basepack, cast(activity_code as varchar), description, null, null, 'plan sheet 1' from ({_P1}) x
-        union all select cast(pack_code as varchar), basepack, cast(post_code as varchar), description, null, null, 'plan sheet 2' from ({_P2}) y""",
+    "plan_1": "from p1", "plan_2": "from p2", "allocation": "from given", "dearer_allocation": "from dearer",
+    "price": "select p.*, 1 + (select count(*) from prices q where q.basepack_code = p.basepack_code and q.retail_price > p.retail_price) as seq from prices p",
+    "cases": f"""select {_AS_TEXT.format("pack_code", "basepack", "activity_code", "description")}, cast(null as varchar) as active_material_code,
+        cast(null as varchar) as active_material_desc, 'plan sheet 1' as remarks from p1
+      union all by name select {_AS_TEXT.format("pack_code", "basepack", "post_code", "description")}, 'plan sheet 2' as remarks from p2
+      union all by name select {_AS_TEXT.format("basepack_code", "basepack_desc", "material_code", "material_desc")}, cast(active_material_code as varchar) as active_material_code,
+        active_material_desc, 'allocation price > active price' as remarks from dearer""",
 }.items():
-    add(f"c04_{_name}", lambda i, n=_name: _c04(i)[n], _sql)
+    add(f"c04_{_name}", lambda i, n=_name: _c04(i)[n], _c04_sql(_sql))
 
 
 # --- category scorecard ---------------------------------------------------------------------------------------------------
@@ -390,31 +392,22 @@ DAYS = 32
 
 
 def _doh_sql(level: str) -> str:
-    by = "basepack" if level == "national" else "town, basepack"
-    up = "upper(basepack) as basepack" if level == "national" else "upper(town) as town, upper(basepack) as basepack"
-    rr = f"(select {up}, rr_3m, rr_6m from {{national_rr}})" if level == "national" else \
-        f"(select {up}, rr_3m, rr_6m from (select town, basepack, sum(rr_3m) as rr_3m, sum(rr_6m) as rr_6m from {{town_rr}} group by 1, 2) r)"
-    stock = f"(select {up}, on_hand from {{rpl_stock}})"
-    agg = f"(select {by}, sum(on_hand) as soh from {stock} s group by {by})"
-    month = f"(select upper(town) as town, upper(basepack) as basepack, sum(ord_qty) / {DAYS} as rr from {{sccf_month}} group by 1, 2)"
-    if level == "national":
-        month = f"(select basepack, sum(rr) as rr from {month} m group by 1)"
-    target = f"select {'distinct ' if level == 'national' else ''}{by}, 'DOH_target' as attr, 18 as val from {stock} s"
-    alloc = "(select upper(basepack) as basepack, upper(business_group) as business_group, upper(category) as category, tgt_cr from {sku_target})"
-    cls = f"(select {up}, upper(classification) as classification from {{{'national_class' if level == 'national' else 'town_class'}}})"
-    long = f"""select {by}, 'stock_on_hand' as attr, soh as val from {agg} a
-        union all select {by}, 'DOH_3_months', soh / nullif(rr_3m, 0) from {agg} a join {rr} r using ({by})
-        union all select {by}, 'DOH_6_months', soh / nullif(rr_6m, 0) from {agg} a join {rr} r using ({by})
-        union all select {by}, 'DOH_this_month', soh / nullif(rr, 0) from {agg} a join {month} r using ({by})
-        union all {target}"""
-    index = "business_group, category, classification, basepack_bc, basepack" + ("" if level == "national" else ", town")
-    cells = ", ".join(f"sum(case when attr = '{a}' then coalesce(val, 0) end) as \"{a}\"" for a in days_on_hand.ATTRS)
-    return f"""select {index}, {cells} from ({long}) l
-        left join (select business_group, category, basepack, sum(tgt_cr) / (select sum(tgt_cr) from {alloc} w) as basepack_bc
-          from {alloc} b group by 1, 2, 3) bc using (basepack)
-        left join {cls} c using ({by})
-        where business_group is not null and category is not null and classification is not null and basepack_bc is not null
-        group by {index}"""
+    """One row per key with its stock, each rate beside it; a measure is there where its rate has the key."""
+    town = level == "town"
+    key = ["town", "basepack"] if town else ["basepack"]
+    up, by = ", ".join(f"upper({k}) as {k}" for k in key), ", ".join(key)
+    rates, classes = ("{town_rr}", "{town_class}") if town else ("{national_rr}", "{national_class}")
+    cover = lambda rate: f"case when {rate}_known then coalesce(soh / nullif({rate}, 0), 0) end"
+    return f"""with stock as (select {up}, sum(on_hand) as soh, count(*) as lines from {{rpl_stock}} group by all),
+      slow as (select {up}, sum(rr_3m) as rr_3m, sum(rr_6m) as rr_6m, true as rr_3m_known, true as rr_6m_known from {rates} group by all),
+      fast as (select {up}, sum(ord_qty) / {DAYS} as rr, true as rr_known from {{sccf_month}} group by all),
+      goods as (select upper(business_group) as business_group, upper(category) as category, upper(basepack) as basepack, sum(tgt_cr) as part from {{sku_target}} group by all),
+      shared as (select business_group, category, basepack, part / sum(part) over () as basepack_bc from goods)
+    select business_group, category, upper(classification) as classification, basepack_bc, s.*  exclude (soh, lines), coalesce(soh, 0) as stock_on_hand,
+      {cover("rr_3m")} as "DOH_3_months", {cover("rr_6m")} as "DOH_6_months", {cover("rr")} as "DOH_this_month", 18 * {"lines" if town else "1"} as "DOH_target"
+    from stock s left join slow using ({by}) left join fast using ({by}) join shared using (basepack)
+    join (select {up}, classification from {classes}) c using ({by})
+    where business_group is not null and category is not null and classification is not null and basepack_bc is not null"""
 
 
 add("c13_national", lambda i: days_on_hand.doh_operational(i.rpl_stock, i.sccf_month, i.sku_target, i.national_class, i.national_rr, DAYS),
@@ -425,11 +418,9 @@ add("c13_town", lambda i: days_on_hand.doh_operational(i.rpl_stock, i.sccf_month
 
 # --- overstock ------------------------------------------------------------------------------------------------------------
 
-_OVER = """with tbl as (select r.*, c.classification as cls from {rpl_town} r join {town_class} c using (town, basepack)) """
-_IDX = """count(basepack) as sku_count, sum(norm_qty) as norm_qty, sum(proposed_qty) as proposed_qty, sum(on_hand) as stock_on_hand,
-    sum(on_hand) / nullif(sum(norm_qty), 0) as value_index, 1 - sum(proposed_qty) / nullif(sum(norm_qty), 0) as qmix from tbl"""
-_INDEX = f"""{_OVER} select town, basepack as portfolio, {_IDX} group by 1, 2 union all select town, 'overall' as portfolio, {_IDX} group by 1, 2
-    union all select town, cls as portfolio, {_IDX} group by 1, 2"""
+_INDEX = """select town, portfolio, count(*) as sku_count, sum(norm_qty) as norm_qty, sum(proposed_qty) as proposed_qty, sum(on_hand) as stock_on_hand,
+      sum(on_hand) / nullif(sum(norm_qty), 0) as value_index, 1 - sum(proposed_qty) / nullif(sum(norm_qty), 0) as qmix
+    from (select r.*, unnest(['overall', basepack, classification]) as portfolio from {rpl_town} r join {town_class} c using (town, basepack)) l group by town, portfolio"""
 
 
 def overstock_flagship(i: Inputs):
@@ -466,31 +457,30 @@ def _off_long(i: Inputs):
     return supply_off.measures_long(_tagged(i), supply_off.contribution(i.secondary_daily))
 
 
-_WIN = "(select distinct b as basepack, cast(s as date) as strt, cast(e as date) as stop, m as modality from (values " + ", ".join(
-    f"('{b}', '{s}', '{e}', '{m}')" for rows, m in ((CONSTRAINTS, "constraint"), (REMOVALS, "removed")) for b, s, e in rows) + ") v(b, s, e, m))"
-_TAG = f"""select distinct t1.*, status from
-    (select * from (select report_date, basepack, sum(prim_ord_qty) as prim_ord_qty, sum(prim_inv_qty) as prim_inv_qty from {{primary_daily}}
-       where report_date >= date '{START}' and report_date < date '{STOP}' and basepack in (select basepack from {_WIN} w) group by 1, 2) t0
-     full join (select report_date, basepack, sum(sec_ord_qty) as sec_ord_qty, sum(sec_inv_qty) as sec_inv_qty from {{secondary_daily}}
-       where basepack in (select basepack from {_WIN} w) group by 1, 2) t1 using (report_date, basepack)) t1
-    left join (select basepack, strt, stop, max(modality) as status from {_WIN} w group by 1, 2, 3) t2
-    on report_date >= strt and report_date <= stop and t1.basepack = t2.basepack"""
-_CONTRIB = """select basepack, q / (select sum(sec_ord_qty) from {secondary_daily}) as contribution from
-    (select basepack, sum(sec_ord_qty) as q from {secondary_daily} group by 1) c"""
-_DAILY = "".join(f"""select strftime(report_date, '%Y-%m-%d') as report_date, basepack, '{m}' as measure, {e} as val, cast(null as varchar) as status_text
-    from tag union all """ for m, e in {
-        "1. Secondary Order Qty": "sec_ord_qty", "2. Secondary Invoiced Qty": "sec_inv_qty", "3. SCCF": "sec_inv_qty / nullif(sec_ord_qty, 0)",
-        "4. Primary Order Qty": "prim_ord_qty", "5. Dispatched Qty": "prim_inv_qty", "6. DR": "prim_inv_qty / nullif(prim_ord_qty, 0)"}.items())
-_LONG = f"""with tag as ({_TAG}), con as ({_CONTRIB}) select l.*, contribution from ({_DAILY}
-    select 'Overall SCCF', basepack, '3. SCCF', sum(sec_inv_qty) / nullif(sum(sec_ord_qty), 0), null from tag group by 2
-    union all select 'SCCF - Constrainted/Removed', basepack, '3. SCCF', sum(sec_inv_qty) / nullif(sum(sec_ord_qty), 0), null from tag
-      where status is not null group by 2
-    union all select 'SCCF - not Constrainted/Removed', basepack, '3. SCCF', sum(sec_inv_qty) / nullif(sum(sec_ord_qty), 0), null from tag
-      where status is null group by 2
-    union all select strftime(report_date, '%Y-%m-%d'), basepack, '7. Primary Status', null, case when status = 'constraint' then 'constrainted'
-      when status = 'removed' then 'removed' when prim_ord_qty is not null then 'on' else 'no data' end from tag) l join con using (basepack)"""
+_WIN = "(select distinct basepack, cast(a as date) as start_date, cast(z as date) as end_date, status from (values " + ", ".join(
+    f"('{b}', '{a}', '{z}', '{m}')" for m, rows in (("removed", REMOVALS), ("constraint", CONSTRAINTS)) for b, a, z in rows) + ") l(basepack, a, z, status))"
+_TAG = f"""with facts as (select report_date, basepack, prim_ord_qty, prim_inv_qty from {{primary_daily}} where report_date between date '{START}' and date '{STOP}' - 1
+      union all by name select report_date, basepack, sec_ord_qty, sec_inv_qty from {{secondary_daily}}),
+    spans as (select basepack, start_date, end_date, max(status) as status from {_WIN} w group by all),
+    off as (select distinct basepack, cast(unnest(generate_series(start_date, end_date, interval 1 day)) as date) as report_date, status from spans),
+    days as (select report_date, basepack, sum(columns(['prim_ord_qty', 'prim_inv_qty', 'sec_ord_qty', 'sec_inv_qty'])) from facts
+      where basepack in (select basepack from spans) group by 1, 2)
+    select d.*, off.status from days d left join off using (report_date, basepack)"""
+_CONTRIB = """select distinct basepack, sum(sec_ord_qty) over (partition by basepack) / sum(sec_ord_qty) over () as contribution from {secondary_daily}"""
+_FILLED = "sum(sec_inv_qty){0} / nullif(sum(sec_ord_qty){0}, 0)"
+_LONG = f"""with tag as ({_TAG}), con as ({_CONTRIB}),
+    cells as (select strftime(report_date, '%Y-%m-%d') as report_date, basepack, unnest([
+        {{'m': '1. Secondary Order Qty', 'v': sec_ord_qty, 't': null}}, {{'m': '2. Secondary Invoiced Qty', 'v': sec_inv_qty, 't': null}},
+        {{'m': '3. SCCF', 'v': sec_inv_qty / nullif(sec_ord_qty, 0), 't': null}}, {{'m': '4. Primary Order Qty', 'v': prim_ord_qty, 't': null}},
+        {{'m': '5. Dispatched Qty', 'v': prim_inv_qty, 't': null}}, {{'m': '6. DR', 'v': prim_inv_qty / nullif(prim_ord_qty, 0), 't': null}},
+        {{'m': '7. Primary Status', 'v': null, 't': coalesce(map {{'constraint': 'constrainted', 'removed': 'removed'}}[status], if(prim_ord_qty is null, 'no data', 'on'))}}]) as c from tag),
+    wholes as (select basepack, unnest([{{'r': 'Overall SCCF', 'v': {_FILLED.format("")}, 'n': count(*)}},
+        {{'r': 'SCCF - Constrainted/Removed', 'v': {_FILLED.format(" filter (where status is not null)")}, 'n': count(status)}},
+        {{'r': 'SCCF - not Constrainted/Removed', 'v': {_FILLED.format(" filter (where status is null)")}, 'n': count(*) - count(status)}}]) as c from tag group by basepack)
+    select l.*, contribution from (select report_date, basepack, c.m as measure, c.v as val, c.t as status_text from cells
+      union all select c.r, basepack, '3. SCCF', c.v, null from wholes where c.n > 0) l join con using (basepack)"""
 add("c15_off_windows", lambda i: _windows(i).join(i.part.groupBy(F.col("p_brand").alias("basepack")).agg(F.count(F.lit(1)).alias("parts")), "basepack"),
-    f"""select basepack, strt as start_date, stop as end_date, modality as status, parts from {_WIN} w
+    f"""select w.*, parts from {_WIN} w
     join (select p_brand as basepack, count(*) as parts from {{part}} group by 1) p using (basepack)""")
 add("c15_tagged_days", _tagged, _TAG)
 add("c15_contribution", lambda i: supply_off.contribution(i.secondary_daily), _CONTRIB)
@@ -525,17 +515,16 @@ _RET = """select left(cast(claim_date as varchar), 7) as claim_month, distributo
 
 
 def _cohort_sql(by: str, where: str, amount: bool) -> str:
-    b = f"{by}, " if by else ""
-    tb = f"t1.{by}, " if by else ""
-    side = f"(select {b}claim_month, distributor_code, sum(received_amount) as amt from ({_RET}) r where {where} group by all)"
-    on = "t1.distributor_code = t2.distributor_code and t1.claim_month <= t2.claim_month" + (" and t1.amt <= t2.amt" if amount else "") + \
-        (f" and t1.{by} = t2.{by}" if by else "")
-    using = f"({b}claim_month_from)"
-    return f"""with side as {side}, cohort as (select {tb}t1.claim_month as claim_month_from, t2.claim_month as claim_month_to,
-        cast(datediff('month', (t1.claim_month || '-01')::date, (t2.claim_month || '-01')::date) as int) as month_diff,
-        count(distinct t1.distributor_code) as distributors_ret from side t1 left join side t2 on {on} group by all)
-        select c.*, distributors_init, distributors_ret / distributors_init as distributors_ret_pct from cohort c
-        join (select {b}claim_month_from, distributors_ret as distributors_init from cohort where month_diff = 0) i using {using}"""
+    """Each distributor's months are one list, paired within itself."""
+    b, later = (f"{by}, " if by else ""), " and x.amt >= f.amt" if amount else ""
+    return f"""with months as (select {b}distributor_code, claim_month as m, sum(received_amount) as amt from ({_RET}) r where {where} group by all),
+      seen as (select {b}distributor_code, list({{'m': m, 'amt': amt}}) as every from months where distributor_code is not null group by all),
+      firsts as (select *, unnest(every) as f from seen),
+      pairs as (select {b}f.m as claim_month_from, unnest([x.m for x in every if x.m >= f.m{later}]) as claim_month_to from firsts),
+      cells as (select {b}claim_month_from, claim_month_to, count(*) as distributors_ret, cast(12 * (left(claim_month_to, 4)::int - left(claim_month_from, 4)::int)
+        + right(claim_month_to, 2)::int - right(claim_month_from, 2)::int as int) as month_diff from pairs group by all)
+    select *, max(distributors_ret) filter (where month_diff = 0) over (partition by {b}claim_month_from) as distributors_init,
+      distributors_ret / distributors_init as distributors_ret_pct from cells"""
 
 
 def _c16(i: Inputs):

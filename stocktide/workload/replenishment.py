@@ -66,36 +66,37 @@ _JOINED = f"""select p.*, {_STATUS}, lower_band, upper_band, past_week_dr, {_DEF
     left join {{nmsm}} n using (customer_code, basepack_code, company)"""
 _BANDED = f"""select * exclude (lower_band, upper_band), case when company in ('A', 'B') then coalesce(lower_band, 50) else lower_band end as lower_band,
     case when company in ('A', 'B') then coalesce(upper_band, 100) else upper_band end as upper_band from ({_JOINED}) j"""
-_MSTN = """least(norm_qty, on_hand) as phy_capped, case when on_hand + in_transit is not null and norm_qty is not null
-    then round_even(least(on_hand + in_transit, norm_qty), 0) end as total_capped"""
-_V1 = f"""select *, price * on_hand as on_hand_value, price * in_transit as in_transit_value, price * open_order as open_order_value,
-    price * norm_qty as norm_value, (1 + upper_band / 100) * price * proposed_qty as max_saved_value,
-    ceil((1 - lower_band / 100) * proposed_qty) * price as min_saved_value, {_MSTN},
-    per_day_qty * price as per_day_value, case when on_hand <= 0 then norm_qty else 0 end as oos_qty, coalesce(past_week_dr, 9999) as dr_help,
-    case when on_hand is null or norm_qty is null or cover_days is null then 0 when cover_days = 0 then 0 when norm_qty = 0 and on_hand = 0 then 0
-      when norm_qty = 0 then null else on_hand / (norm_qty / cover_days) end as stock_cover from ({_BANDED}) b"""
-_V2 = f"""select *, phy_capped / nullif(norm_qty, 0) * 100 as phy_mstn, total_capped / nullif(norm_qty, 0) * 100 as total_mstn, oos_qty * price as oos_value,
-    case when on_hand = 0 then per_day_value else 0 end as psl,
-    case when on_hand < norm_qty then case when defaulter = 'Defaulter' then 'Defaulter' when dr_help = 9999 and in_transit <= 0 then 'No-Order from Customer'
-      when dr_help < 85 then 'Supply Issue' when in_transit > 0 then 'Stock in transit' else 'No-Order from Customer' end
-      else 'Stock available' end as loss_reason,
-    case when on_hand > per_day_qty then 0 else per_day_value - on_hand_value end as psl_cover,
-    case when per_day_value is null or on_hand_value is null then 0 when per_day_value = 0 and on_hand_value = 0 then 0
-      when per_day_value = 0 then null else on_hand_value / per_day_value end as sc_rr from ({_V1}) v"""
-_V3 = f"""select *, case when stock_cover = 0 then psl_cover else 0 end as zero,
-    case when stock_cover <= 1 and stock_cover > 0 then psl_cover else 0 end as lt1_day,
-    case when stock_cover > 1 and stock_cover <= 2 then psl_cover else 0 end as lt2_day,
-    case when stock_cover > 2 and stock_cover <= 3 then psl_cover else 0 end as lt3_day,
-    case when sc_rr = 0 then per_day_value else 0 end as zero_stock,
-    case when sc_rr = 0 then per_day_value when sc_rr <= 1 and sc_rr > 0 then per_day_value - on_hand_value else 0 end as stock_lt1 from ({_V2}) v"""
-_V4 = f"""select *, case when sc_rr = 0 then 2 * per_day_value when stock_lt1 > 0 then stock_lt1 + per_day_value
-    when sc_rr > 1 and sc_rr <= 2 then per_day_value * 2 - on_hand_value else 0 end as stock_lt2 from ({_V3}) v"""
-_V5 = f"""select *, case when sc_rr = 0 then 3 * per_day_value when stock_lt2 > 0 then stock_lt2 + per_day_value
-    when sc_rr > 2 and sc_rr <= 3 then per_day_value * 3 - on_hand_value else 0 end as stock_lt3 from ({_V4}) v"""
+def _none_is_zero(numerator: str, rate: str) -> str:
+    """A cover: 0 without one of its numbers and for nothing over nothing, unknown for something over nothing."""
+    return f"case when {numerator} is null or {rate} is null or ({numerator} = 0 and {rate} = 0) then 0 when {rate} <> 0 then {numerator} / {rate} end"
+
+
+def _lacking(days: int) -> str:
+    """Value short of ``days`` days' sales: whole days where nothing is left, what the stock leaves open where it covers part of a day."""
+    parts = [f"when sc_rr < {k} or sc_rr = {days} and {k} = {days} then {k} * per_day_value - on_hand_value" + " + per_day_value" * (days - k) for k in range(1, days + 1)]
+    return f"case when sc_rr = 0 then {days} * per_day_value when sc_rr > {days} or sc_rr < 0 or sc_rr is null or (sc_rr = floor(sc_rr) and sc_rr < {days}) then 0 {' '.join(parts)} end"
+
+
+# columns that build on one another, in one select
+_DERIVED = {
+    **{f"{q}_value": f"{q} * price" for q in ("on_hand", "in_transit", "open_order")}, "norm_value": "norm_qty * price", "per_day_value": "per_day_qty * price",
+    "max_saved_value": "(1 + upper_band / 100) * price * proposed_qty", "min_saved_value": "ceil((1 - lower_band / 100) * proposed_qty) * price",
+    "phy_capped": "least(on_hand, norm_qty)", "total_capped": "if(on_hand + in_transit + norm_qty is null, null, round_even(least(norm_qty, in_transit + on_hand), 0))",
+    "phy_mstn": "phy_capped / nullif(norm_qty, 0) * 100", "total_mstn": "total_capped / nullif(norm_qty, 0) * 100",
+    "oos_qty": "if(on_hand <= 0, norm_qty, 0)", "oos_value": "price * oos_qty", "psl": "if(on_hand = 0, per_day_value, 0)", "dr_help": "coalesce(past_week_dr, 9999)",
+    "loss_reason": """case when on_hand < norm_qty then case when defaulter = 'Defaulter' then defaulter when dr_help < 85 then 'Supply Issue'
+      when in_transit > 0 then 'Stock in transit' else 'No-Order from Customer' end else 'Stock available' end""",
+    "stock_cover": """case when cover_days is null or cover_days = 0 or on_hand is null or norm_qty is null or (norm_qty = 0 and on_hand = 0) then 0
+      when norm_qty <> 0 then on_hand / (norm_qty / cover_days) end""",
+    "psl_cover": "if(on_hand > per_day_qty, 0, per_day_value - on_hand_value)", "sc_rr": _none_is_zero("on_hand_value", "per_day_value"),
+    "zero": "if(stock_cover = 0, psl_cover, 0)", **{f"lt{k}_day": f"if(stock_cover > {k - 1} and stock_cover <= {k}, psl_cover, 0)" for k in (1, 2, 3)},
+    "zero_stock": "if(sc_rr = 0, per_day_value, 0)", **{f"stock_lt{k}": _lacking(k) for k in (1, 2, 3)},
+}
+_ALL = "select *, " + ", ".join(f"{e} as {c}" for c, e in _DERIVED.items()) + f" from ({_BANDED}) b"
 _TEXT = {"opd", "inventory_status", "classification", "customer_code", "customer_name", "sku_code", "sku_desc", "basepack", "basepack_code", "category",
          "town", "depot_name", "region", "area", "defaulter", "nmsm_tag", "company", "loss_reason", "past_week_dr"}
 _REPORT = f"select '{RUN_DATE}' as date, " + ", ".join(
-    c if c in _TEXT else f"round_even(cast({c} as double) * 100, 0) / 100 as {c}" for c in P.REPORT_COLUMNS[1:]) + f" from ({_V5}) v"
+    c if c in _TEXT else f"round_even(cast({c} as double) * 100, 0) / 100 as {c}" for c in P.REPORT_COLUMNS[1:]) + f" from ({_ALL}) v"
 _GAP = f"""select * exclude (customer_name), correct_qty - proposed_qty as gap from (select *,
     case when norm_qty - on_hand - in_transit - open_order <= 0 then 0 else norm_qty - on_hand - in_transit - open_order end as correct_qty from ({_BASE}) b) g"""
 
@@ -125,7 +126,7 @@ add("c07_08_lock_default", lambda i: keyed(P.lock_default(P.lock_join(base(i), i
     _sel(_BANDED, "lower_band", "upper_band"))
 add("c07_09_dispatch_rate", lambda i: P.dispatch_rate(i.dr), _DR)
 add("c07_10_dr_join", lambda i: keyed(P.dr_join(base(i), P.dispatch_rate(i.dr)), (F.col("past_week_dr") == "No-Order").alias("no_order"), "dr_help"),
-    _sel(_V1, "past_week_dr is null as no_order", "dr_help"))
+    _sel(_ALL, "past_week_dr is null as no_order", "dr_help"))
 add("c07_11_defaulter_flag", lambda i: keyed(P.defaulter_flag(base(i), i.fund), "defaulter"), _sel(_JOINED, "defaulter"))
 add("c07_12_order_day", lambda i: keyed(P.order_day(base(i), i.pdp, RUN_DATE), "opd", "region", "town"), _sel(_JOINED, "opd", "region", "town"))
 add("c07_13_classify", lambda i: keyed(P.classify(base(i), i.winter, i.abc, i.nmsm), "classification", "nmsm_tag"),
@@ -140,23 +141,23 @@ def _rated(i: Inputs):
 
 
 add("c07_15_saved_value", lambda i: keyed(P.saved_value(P.lock_default(P.lock_join(P.price_fallback(base(i), i.sku_master), i.lock))),
-                                          "max_saved_value", "min_saved_value"), _sel(_V1, "max_saved_value", "min_saved_value"))
+                                          "max_saved_value", "min_saved_value"), _sel(_ALL, "max_saved_value", "min_saved_value"))
 add("c07_16_mstn", lambda i: keyed(P.mstn(base(i)), "phy_capped", "total_capped", "phy_mstn", "total_mstn"),
-    _sel(_V2, "phy_capped", "total_capped", "phy_mstn", "total_mstn"))
+    _sel(_ALL, "phy_capped", "total_capped", "phy_mstn", "total_mstn"))
 add("c07_17_oos_psl", lambda i: keyed(P.oos_psl(_rated(i)), "per_day_value", "oos_qty", "oos_value", "psl"),
-    _sel(_V2, "per_day_value", "oos_qty", "oos_value", "psl"))
+    _sel(_ALL, "per_day_value", "oos_qty", "oos_value", "psl"))
 add("c07_18_loss_reason", lambda i: keyed(P.loss_reason(P.defaulter_flag(P.dr_join(base(i), P.dispatch_rate(i.dr)), i.fund)), "loss_reason"),
-    _sel(_V2, "loss_reason"))
-add("c07_19_stock_cover", lambda i: keyed(P.stock_cover(base(i)), "stock_cover"), _sel(_V1, "stock_cover"))
+    _sel(_ALL, "loss_reason"))
+add("c07_19_stock_cover", lambda i: keyed(P.stock_cover(base(i)), "stock_cover"), _sel(_ALL, "stock_cover"))
 add("c07_20_cover_bands", lambda i: keyed(_rated(i).transform(P.valuation).transform(P.oos_psl).transform(P.stock_cover).transform(P.cover_bands),
                                           "psl_cover", "zero", "lt1_day", "lt2_day", "lt3_day"),
-    _sel(_V3, "psl_cover", "zero", "lt1_day", "lt2_day", "lt3_day"))
+    _sel(_ALL, "psl_cover", "zero", "lt1_day", "lt2_day", "lt3_day"))
 add("c07_21_sc_rr_loss", lambda i: keyed(_rated(i).transform(P.valuation).transform(P.oos_psl).transform(P.sc_rr_loss),
                                          "sc_rr", "zero_stock", "stock_lt1", "stock_lt2", "stock_lt3"),
-    _sel(_V5, "sc_rr", "zero_stock", "stock_lt1", "stock_lt2", "stock_lt3"))
+    _sel(_ALL, "sc_rr", "zero_stock", "stock_lt1", "stock_lt2", "stock_lt3"))
 add("c07_22_round2", lambda i: P.round2(keyed(P.mstn(base(i)), "phy_mstn", "total_mstn")),
     f"""select customer_code, sku_code, round_even(phy_mstn * 100, 0) / 100 as phy_mstn, round_even(total_mstn * 100, 0) / 100 as total_mstn
-    from ({_V2}) v""")
+    from ({_ALL}) v""")
 
 
 # --- summaries ------------------------------------------------------------------------------------------------------------
