@@ -32,7 +32,7 @@ from stocktide.llm.text import broadcast_if, named_columns
 from stocktide.session import stage_table
 
 WORDS, LEAST, COVER, TOP, UNIT = 3, 10, 50, 2000, 1_000_000
-SHARD_BYTES, RANGE_BYTES, BROADCAST_ROWS = 1 << 23, 1 << 24, 200_000
+SHARD_BYTES, RANGE_BYTES, BROADCAST_ROWS, SPREAD = 1 << 23, 1 << 24, 200_000, 64
 #: Lower case, and every character that ends a piece as a full stop.
 BREAK, PIECE_ENDS = b".", b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + PIECE_ENDS, b"abcdefghijklmnopqrstuvwxyz" + BREAK * len(PIECE_ENDS))
@@ -278,8 +278,10 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", words:
     kept = scored.join(longer, (F.col("lang") == F.col("_lang")) & (F.col("phrase") == F.col("_phrase")), "left")
     kept = kept.filter(F.col("longest").isNull() | (100 * F.col("longest") < cover * F.col("a")))
 
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    placed = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= top)
+    ranked = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(SPREAD)))
+    ranked = placed(placed(ranked, "lang", "part"), "lang")  # a language's last window sees the first ``top`` of each part at most
     totals = found.filter("kind = 'automaton'").groupBy(F.col("lang").alias("_lang")).agg(F.sum("count").alias("n"))
     return ranked.join(F.broadcast(totals), F.col("lang") == F.col("_lang")).select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
