@@ -30,15 +30,16 @@ def basepack_cut(grain: DataFrame) -> DataFrame:
 
 
 def short_town_list(grain: DataFrame, width: int) -> DataFrame:
-    """Town text cut to ``width`` without building the full list: every further entry adds at
-    least two characters, so the first ``width / 2 + 2`` towns decide the visible part."""
+    """Text of one sorted town per order row, cut to ``width`` without building it: every further entry adds at
+    least two characters, so the first ``width / 2 + 2`` entries decide the visible part."""
+    most = width // 2 + 2
     order = Window.partitionBy("basepack").orderBy("town")
-    head = (grain.where(F.col("town").isNotNull()).select("basepack", "town", F.row_number().over(order).alias("rn"))
-            .where(F.col("rn") <= width // 2 + 2)
-            .groupBy("basepack").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "town"))),
-                                                              lambda x: x["town"]), ", ").alias("_head")))
+    head = (grain.where(F.col("town").isNotNull()).select("basepack", "town", F.least("rows", F.lit(most)).cast("int").alias("n"), F.row_number().over(order).alias("rn"))
+            .where(F.col("rn") <= most)
+            .groupBy("basepack").agg(F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("rn", "town", "n"))),
+                                                                        lambda x: F.array_repeat(x["town"], x["n"]))), ", ").alias("_head")))
     sizes = grain.groupBy("basepack").agg(
-        (F.sum(F.length("town")) + 2 * (F.count("town") - 1)).alias("_length"))
+        (F.sum((F.length("town") + 2) * F.col("rows")) - 2).alias("_length"))
     text = F.when(F.col("_length") > width, F.concat(F.left("_head", F.lit(width)), F.lit(" ..."))).otherwise(F.col("_head"))
     return sizes.join(head, "basepack", "left").select("basepack", text.alias("order_towns"))
 

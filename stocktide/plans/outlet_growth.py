@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stocktide.functions import or_zero, ratio, ratio_of_sums, sum_strict, total
 from stocktide.operators.joining import full_zero, with_total
 from stocktide.operators.windows import column_deltas, fill_down
-from stocktide.session import as_is
+from stocktide.session import staged
 
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 YTD = MONTHS[:9]
@@ -50,8 +50,8 @@ def contribution(pair: DataFrame, by: str, name: str) -> DataFrame:
     return with_total(sums, whole).select(by, "total", ratio("total", "_whole").alias(f"{name}_bc"), f"{name}_growth")
 
 
-def outlet_growth(this_year: DataFrame, last_year: DataFrame, stage=as_is) -> dict[str, DataFrame]:
-    """Detail with both contributions, and the two summaries."""
+def outlet_growth(this_year: DataFrame, last_year: DataFrame, stage=staged) -> dict[str, DataFrame]:
+    """Detail with both contributions, and the two summaries; the year pair behind them is written once by ``stage``."""
     pair = stage(year_pair(this_year, last_year))
     outlets = contribution(pair, "outlet_code", "outlet")
     packs = contribution(pair, "basepack", "basepack")

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from stocktide import constants as K
 from stocktide.functions import (
-    DAY_WORDED, ceil_number, choose, first_known, floor_zero, keep_where, least_known, least_strict, not_true, or_zero,
+    ceil_number, choose, first_known, floor_zero, keep_where, least_known, least_strict, not_true, or_zero,
     ratio, round_half_even, sum_known, sum_strict, total, weekday_tag,
 )
 from stocktide.operators.ordering import first_per_key
@@ -302,8 +302,12 @@ def base_rows(inputs: dict[str, DataFrame]) -> DataFrame:
 def attach_masters(inputs: dict[str, DataFrame], run_date: str, companies=COMPANIES) -> DataFrame:
     """All lookups. They are ordered by key, so neighbours share the facts' partitioning:
     (customer, item), then item, then (customer, basepack), then (customer, company)."""
-    return (first_rows(inputs).transform(lock_join, inputs["lock"])
-            .transform(with_product, inputs).transform(price_fallback, inputs["sku_master"])
+    return looked_up(first_rows(inputs).transform(lock_join, inputs["lock"]).transform(with_product, inputs), inputs, run_date, companies)
+
+
+def looked_up(rows: DataFrame, inputs: dict[str, DataFrame], run_date: str, companies=COMPANIES) -> DataFrame:
+    """The lookups after lock and product."""
+    return (rows.transform(price_fallback, inputs["sku_master"])
             .transform(dr_join, inputs["dispatch_rate"]).transform(run_rate, inputs["rr"])
             .transform(classify, inputs["winter"], inputs["abc"], inputs["nmsm"])
             .transform(inventory_status, tag_inventory(inputs["inventory"], companies=companies))
@@ -316,14 +320,21 @@ def formulas(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def replenishment_report(inputs: dict[str, DataFrame], run_date: str, companies=COMPANIES) -> dict[str, DataFrame]:
+def replenishment_report(inputs: dict[str, DataFrame], run_date: str, companies=COMPANIES, stage=None) -> dict[str, DataFrame]:
     """The report and its check lists.
 
     ``inputs``: rpl_yesterday, product, proposed_order, cover_days, sku_master, inventory, lock,
     dispatch_rate, fund, pdp, rr, winter, abc, nmsm.
+
+    With ``stage`` the rows with their product and the rows with all lookups are each written once, and report and check
+    lists read those: every lookup runs once. Without it each result is one plan of its own.
     """
-    base = base_rows(inputs)
-    joined = attach_masters(inputs, run_date, companies)
+    if stage is None:
+        base, joined = base_rows(inputs), attach_masters(inputs, run_date, companies)
+    else:
+        known = stage(with_product(first_rows(inputs), inputs))
+        base = known.select(*BASE)
+        joined = stage(looked_up(known.transform(lock_join, inputs["lock"]), inputs, run_date, companies))
     full = formulas(joined.transform(lock_default, companies=companies))
     report = round2(full.withColumn("date", F.lit(run_date)).select(*REPORT_COLUMNS))
     return {"report": report, "gap_list": gap_list(base), "zero_stock_list": zero_stock_list(base), "price_check": price_check(base),
@@ -378,19 +389,16 @@ def inventory_lists(report: DataFrame, companies=COMPANIES) -> dict[str, DataFra
     return {c: report.where(F.col("company") == c).select(*cols).distinct() for c in companies}
 
 
-def report_date_text(run_date: Column) -> Column:
-    return F.date_format(run_date, DAY_WORDED)
-
-
 def write_replenishment(inputs: dict[str, DataFrame], run_date: str, path: str, companies=COMPANIES) -> dict[str, str]:
     """Write the report first, then build summaries and lists from the written table.
 
-    The long join chain runs once, the twelve summaries read one small written fold, and
-    sheets that come later survive lost executors.
+    The long join chain runs once, report and check lists read its written rows, the twelve
+    summaries read one small written fold, and sheets that come later survive lost executors.
     """
+    from stocktide.session import staged
     from stocktide.sources.writers import write_report, write_table
 
-    sheets = replenishment_report(inputs, run_date, companies)
+    sheets = replenishment_report(inputs, run_date, companies, stage=staged)
     root = path.rstrip("/")
     report = sheets.pop("report")
 

@@ -41,10 +41,12 @@ def test_returns_flags_stay_null(make, rows):
 def test_order_cuts_town_text_is_cut_like_the_full_list(make):
     towns = [f"town{n:03d}" for n in range(60)] + ["", "a"]
     data = [("A", "p", "c", t, "co", 1.0) for t in towns] + [("A", "q", "c", "x", "co", 100.0), ("A", "q", "c", "x", "co", 0.0), ("A", "r", "c", None, "co", 2.0)]
+    data += [("A", "s", "c", t, "co", 0.0001) for t in ("c", "b", "b", "c", "b")]
     out = order_cuts.order_cuts(make(data, "hht_orders"), width=20)
     full = {r["basepack"]: r["order_towns"] for r in out["basepack"].collect()}
-    for r in out["top"].collect():
-        text = full[r["basepack"]]
+    assert full["p"] == ", ".join(sorted(towns)) and full["s"] == "b, c" and full["r"] is None
+    for r in out["top"].collect():  # one entry per order row
+        text = ", ".join(sorted(t for _, p, _, t, _, q in data if p == r["basepack"] and q > 0 and t is not None)) or None
         assert r["order_towns"] == (text[:20] + " ..." if text and len(text) > 20 else text)
     top = {r["basepack"]: (r["order_qty"], r["order_pct"], r["order_town_count"]) for r in out["top"].collect()}
     assert top["q"] == (100.0, "60.98%", 1) and top["p"] == (62.0, "37.8%", 62)
