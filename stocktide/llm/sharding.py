@@ -10,7 +10,7 @@ Only counts per cell are shuffled. The directory is broadcast up to ``BROADCAST_
 
 Defined results: null text has 0 bytes; a null id hashes as a value of its own; rows of one id share all bits and stay together; a
 bucket that one id fills beyond the limit cannot be split and is marked ``oversized``; an empty table has no shard; extra columns
-pass through ``with_shard``.
+pass through ``with_shard``, except that columns with the names of its results are replaced.
 """
 
 from __future__ import annotations
@@ -61,11 +61,14 @@ def with_shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limi
     shards = stage_table(directory(stage_table(keyed, "bits"), limit), "directory")
     depths = sorted(r["depth"] for r in shards.select("depth").distinct().collect())  # at most 61
     bits, depth, prefix = (fresh(docs, k) for k in ("bits", "depth", "prefix"))
+    of = {c: fresh(docs, f"of_{c}") for c in shards.columns}
     rows = docs.withColumn(bits, id_bits(F.col(doc_id))).withColumn(depth, F.explode(F.array(*map(F.lit, depths)).cast("array<int>")))
     rows = rows.withColumn(prefix, F.expr(f"shiftright(`{bits}`, {BITS} - `{depth}`)"))
-    name = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0")))
-    out = rows.join(broadcast_if(shards, BROADCAST_SHARDS), (F.col(depth) == F.col("depth")) & (F.col(prefix) == F.col("prefix")))
-    return out.withColumn("shard", name).drop(bits, depth, prefix, "prefix")
+    name = F.when(F.col(depth) == 0, F.lit("")).otherwise(F.lpad(F.bin(prefix), F.col(depth), F.lit("0")))
+    found = shards.select(*[F.col(c).alias(n) for c, n in of.items()])
+    out = rows.join(broadcast_if(found, BROADCAST_SHARDS), (F.col(depth) == F.col(of["depth"])) & (F.col(prefix) == F.col(of["prefix"])))
+    added = {"shard": name, **{c: F.col(of[c]) for c in ("depth", "shard_bytes", "shard_docs", "oversized")}}
+    return out.select(*[f"`{c}`" for c in docs.columns if c.lower() not in added], *[v.alias(c) for c, v in added.items()])
 
 
 def write_shards(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> None:
