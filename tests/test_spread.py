@@ -5,8 +5,11 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from stocktide.plans import supply_off
 from stocktide.workload import roles as R
 from stocktide.workload import replenishment as W
+from stocktide.workload import composites as C
+from stocktide.workload.registry import Inputs
 
 SCHEMAS = {
     "region": "r_regionkey int, r_name string", "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -90,3 +93,21 @@ def test_rows_are_joined_and_folded_in_tasks_that_follow_the_facts(spark, folder
 def test_small_facts_are_left_to_spark(spark, folder):
     assert R.tasks(spark, folder) is None
     assert "REPARTITION_BY_NUM" not in W.R.queries["c07_17_oos_psl"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_off_summary_reads_the_facts_once_for_each_side(spark, folder, monkeypatch):
+    """Once for the fold of each side; tags and shares are both taken from the folds."""
+    want = sorted_rows(supply_off.summary(C._tagged(i := Inputs(spark, folder)), supply_off.contribution(i.secondary_daily)))
+    plans, staged = [], C.staged
+    monkeypatch.setattr(C, "staged", lambda df: plans.append(df) or staged(df))
+    out = C.R.queries["c15_summary"](spark, folder)
+    scans = [len(re.findall(r"Relation[^\n]*l_orderkey", df._jdf.queryExecution().optimizedPlan().toString())) for df in (*plans, out)]
+    assert scans == [1, 1, 0]
+    assert want and sorted_rows(out) == want
+
+
+def test_contribution_of_a_fold_is_that_of_its_rows(make, rows):
+    sec = make([("1998-01-01", "a", 1.0, 1.0), ("1998-01-01", "a", 2.0, None), ("1998-01-02", "b", 5.0, 0.0), (None, "b", None, 1.0), (None, None, 2.0, 1.0)],
+               "report_date string, basepack string, sec_ord_qty double, sec_inv_qty double")
+    want = [("a", 0.3), ("b", 0.5), (None, 0.2)]
+    assert rows(supply_off.contribution(sec)) == rows(supply_off.contribution(supply_off.daily_totals(sec))) == want
