@@ -8,11 +8,12 @@ the emptiest are cut to fill up the fullest, so that all but one window are full
 sequences of powers of two, which need no padding.
 
 Documents are not shuffled and meet no other task, so a lost executor repeats its own partition only, and memory is bounded by
-one batch of texts, the word table and ``OPEN`` windows. A sequence number is the partition's number times 2**33 plus the number in it.
+one Arrow batch of texts, the word tables and ``OPEN`` windows. A sequence number is the partition's number times 2**33 plus the number in it.
 
 Tokens of a text are those of its words between white-space, one after another: the tokenizer drops white-space, and none of its
 tokens spans any. Words are looked up in tables of bounded size, which a worker keeps from task to task; words of printable Latin-1 letters, digits and signs go straight
-to the tokenizer's merges, all others through the whole tokenizer.
+to the tokenizer's merges, all others through the whole tokenizer. At most 2 * ``TABLE`` parts of words and ``TABLE`` words are
+kept, none of ``LONG`` bytes or more; a word of which no part was kept before is left out until it comes again.
 
 Defined results: null and empty texts are the end token alone; repeated rows are packed once each; an empty table gives no piece;
 ``doc_id`` is carried as it is, null included; extra columns are ignored.
@@ -28,20 +29,23 @@ from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stocktide.llm.text import named_columns
 
-WINDOW, END, OPEN, TABLE = 4096, 2, 1024, 600_000
-BYTES, SHIFT = 4, 33
+WINDOW, END, OPEN, TABLE = 4096, 2, 1024, 150_000
+BYTES, SHIFT, LONG, ROWS = 4, 33, 64, 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordTokens(dict):
-    """Token ids of words (UTF-8), as bytes of little-endian unsigned 32-bit numbers; filled on demand, emptied when full."""
+    """Token ids of words (UTF-8), as bytes of little-endian unsigned 32-bit numbers; filled on demand, emptied when full.
+
+    ``known`` holds parts of words in the same way. When it is full it becomes ``older``, from which parts in use move on.
+    """
 
     def __init__(self, path: str):
         from regex import compile as pattern
@@ -56,19 +60,29 @@ class WordTokens(dict):
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.met = True  # whether a part of the word at hand was kept before
 
     def _part(self, part: str) -> bytes:
         out = self.known.get(part)
+        if out is not None:
+            self.met = True
+            return out
+        out = self.older.get(part)
         if out is None:
-            if len(self.known) >= TABLE:
-                self.known.clear()
             out = array("I", [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, part.encode())))]).tobytes()
+        else:
+            self.met = True
+        if len(part) < LONG:
+            if len(self.known) >= TABLE:
+                self.older, self.known = self.known, {}
             self.known[part] = out
         return out
 
     def __missing__(self, raw: bytes) -> bytes:
         word = raw.decode()
         if self.plain(word):
+            self.met = False
             low = word.lower()
             if low.isalpha():
                 out = self._part(low)
@@ -77,10 +91,11 @@ class WordTokens(dict):
             else:
                 out = b"".join(map(self._part, self.parts(low)))
         else:
+            self.met = True
             out = array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(self) >= TABLE:
-            self.clear()
-        if len(raw) < 64:
+        if self.met and len(raw) < LONG:
+            if len(self) >= TABLE:
+                self.clear()
             self[raw] = out
         return out
 
@@ -191,10 +206,11 @@ class Packer:
         self.open.clear()
         self.waiting = 0
 
-    def take(self) -> pd.DataFrame:
+    def take(self) -> pa.RecordBatch:
         rows, self.done = self.done, []
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
-        return out.astype({"doc_id": "Int64"})
+        names = [c.split()[0] for c in PIECES.split(", ")]
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
@@ -206,16 +222,15 @@ def pack(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id",
 
         tokenizer = path("word_bpe_49k.json")
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, packer = word_tokens(tokenizer), Packer(TaskContext.get().partitionId() << SHIFT, window, most_open)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at:at + 256]
-                for key, body in zip(part["doc_id"], part["text"], strict=True):
-                    packer.add(None if key is None else int(key), table.ids(body))
+            for at in range(0, batch.num_rows, ROWS):  # only these rows become Python objects
+                part = batch.slice(at, ROWS)
+                for key, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    packer.add(key, table.ids(body))
                 yield packer.take()
         packer.finish()
         yield packer.take()
 
-    # the id travels as text: a long column with nulls would become floating point
-    return docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInPandas(packed, PIECES)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(packed, PIECES)

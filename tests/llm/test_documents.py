@@ -213,6 +213,34 @@ def test_packing_round_trip(docs, edge):
     assert packing.pack(edge.limit(0)).count() == 0
 
 
+def _word_tables():
+    pytest.importorskip("tokenizers"), pytest.importorskip("regex")
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    table = packing.WordTokens(path)
+    return table, lambda t: np.array([*table.whole.encode(t, add_special_tokens=False).ids, 2], dtype="<u4").tobytes()
+
+
+def test_packing_keeps_few_words_in_a_worker():
+    table, _ = _word_tables()
+    letters = "abcdefghijklmnopqrst"
+    for at in range(0, 240_000, 20_000):  # words that come once, as most of a corpus do
+        table.ids(" ".join("".join(letters[n // 20 ** k % 20] for k in range(5)) for n in range(at, at + 20_000)).encode())
+    table.ids(b"x" * 10_000 + b" " + b"y" * 10_000 + b".")
+    kept = [d for d in (table, table.known, getattr(table, "older", {}))]
+    assert sum(map(len, kept)) <= 300_000
+    assert max(len(k) for d in kept for k in d) < 64
+
+
+def test_packing_tables_turn_over(monkeypatch):
+    monkeypatch.setattr(packing, "TABLE", 7)
+    table, tokens = _word_tables()
+    texts = ["one two three four five six seven eight nine ten", "Eight nine, ten. one two1 x-y 3.14 <pad> Kelvin\u212a \u00e9t\u00e9 \u65e5\u672c", "one one one", "z" * 200, ""]
+    for text in [*texts, *texts[::-1], *texts]:
+        assert table.ids(text.encode()) == tokens(text), text
+        assert len(table) <= 7 and len(table.known) <= 7
+    assert table.ids(None) == tokens("")
+
+
 @pytest.mark.parametrize("limit", [sharding.LIMIT, 20_000])
 def test_sharding_is_its_sql(spark, limit):
     def query(s, d):
